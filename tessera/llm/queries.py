@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import near_duplicates as nd
+from tessera.llm import similar_vectors as sv
 from tessera.sources.tables import table
 
 #: Problem 2 is stated with three words, 0.5 and fifteen words.
 P2 = {"shingle": 3, "threshold": 0.5, "min_words": 15}
 
+#: Problem 1 asks for pairs of at least this similarity.
+P1_LEAST = 0.87
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = sv.most_similar(table(spark, d, "memories"), least=P1_LEAST)
+    return near.select(F.least("id", "other").alias("memory_id_a"), F.greatest("id", "other").alias("memory_id_b")).distinct()
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     links, members = nd.near_duplicate_links(table(spark, d, "memories"), **P2)
@@ -22,7 +31,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return nd.near_duplicate_groups(links, members)
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups}
 
 _PAIRS = r"""
 WITH RECURSIVE m AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM memories),
@@ -32,4 +41,12 @@ p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h
 j AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c >= 0.5 * (na.n + nb.n - c))
 """
 
-SQL = {"p2_found": _PAIRS + "SELECT a AS memory_id_a, b AS memory_id_b FROM j"}
+_NEAREST = r"""
+WITH m AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM memories
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT x.id, y.id AS other, list_cosine_similarity(x.v, y.v) AS sim FROM m x JOIN m y ON x.id <> y.id),
+r AS (SELECT id, other, sim, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS k FROM s WHERE sim >= 0.87)
+SELECT DISTINCT least(id, other) AS memory_id_a, greatest(id, other) AS memory_id_b FROM r WHERE k <= 10
+"""
+
+SQL = {"p1_found": _NEAREST, "p2_found": _PAIRS + "SELECT a AS memory_id_a, b AS memory_id_b FROM j"}

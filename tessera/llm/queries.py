@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import name_variants as nv
 from tessera.llm import near_duplicates as nd
 from tessera.llm import similar_vectors as sv
 from tessera.sources.tables import table
@@ -31,7 +32,12 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return nd.near_duplicate_groups(links, members)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    same = nv.name_variants(table(spark, d, "entities"), table(spark, d, "name_forms"), table(spark, d, "entity_aliases"))
+    return nv.variant_pairs(same).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found}
 
 _PAIRS = r"""
 WITH RECURSIVE m AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM memories),

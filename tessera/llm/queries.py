@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import mixing, packing, subjects, tokens
 from tessera.llm import name_variants as nv
 from tessera.llm import near_duplicates as nd
 from tessera.llm import similar_vectors as sv
+from tessera.scale import materialize
 from tessera.sources.tables import table
 
 #: Problem 2 is stated with three words, 0.5 and fifteen words.
@@ -37,7 +39,42 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nv.variant_pairs(same).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found}
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.with_tokens(table(spark, d, "documents")))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p6_packed(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokens.with_tokens(table(spark, d, "documents"), keep=("source",))
+    sized = materialize(sized.withColumn("source", mixing.source_form(F.col("source"))))
+    rated = mixing.rates(sized, table(spark, d, "mix_targets"))
+    return mixing.mix(sized, rated), rated
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, d))
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"), table(spark, d, "subject_areas"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 
 _PAIRS = r"""
 WITH RECURSIVE m AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM memories),

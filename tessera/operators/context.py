@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as X
+from tessera.scale import materialize
 
 ALIGNED = 0.25
 OVERLAP = 0.20
@@ -122,6 +123,6 @@ def assembled(candidates: DataFrame) -> DataFrame:
 
 
 def build(candidates: DataFrame, index: DataFrame, historical: DataFrame, query_facts: DataFrame, query_entities: DataFrame, limit: int = 10, budget: int = BUDGET) -> DataFrame:
-    """The selected memories of each query, ranked, from retrieval candidates."""
-    c = evidence(with_facts(candidates, index, historical), query_facts, query_entities)
+    """The selected memories of each query, ranked, from retrieval candidates (written once, read twice)."""
+    c = evidence(with_facts(materialize(candidates), index, historical), query_facts, query_entities)
     return within_budget(diversified(ranked(aligned(resolved(c))), limit), budget)

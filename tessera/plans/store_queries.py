@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessera.operators import fact_index as FI
 from tessera.operators import graph as G
 from tessera.operators import lineage as L
+from tessera.operators import maintenance as A
 from tessera.operators import memories as M
 from tessera.sources.tables import table
+from tessera.streaming.windows import evidence_counts
 
 VERSION = "rules-1.5"
 STRUCTURAL_LIMIT = 50
@@ -130,7 +132,31 @@ def graph_closure(spark: SparkSession, d: str) -> DataFrame:
     return G.closure(table(spark, d, "memory_entities"))
 
 
-QUERIES = {f.__name__: f for f in (memory_listing, memory_access, memory_top, memory_duplicates, memory_merges, memory_buckets, memory_violations, memory_reflection, lineage_historical, lineage_distinct, lineage_dangling, lineage_pairs, lineage_contradictions, lineage_degrees, evidence_view, index_current, index_candidates, index_live_counts, index_status, index_counts, graph_resolved, graph_mentions, graph_links, graph_degrees, graph_orphans, graph_edges, graph_closure)}
+def conflict_report(spark: SparkSession, d: str) -> DataFrame:
+    return A.conflict_report(table(spark, d, "memories"), table(spark, d, "knowledge_facts"), table(spark, d, "memory_relationships"))
+
+
+def legacy_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return A.legacy_evidence(table(spark, d, "memories"), table(spark, d, "memory_evidence")).select("memory_id", "observed_at", "decision")
+
+
+def purge_effect(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each table that stay when the archived memories are purged."""
+    names = ("memories", "memory_relationships", "memory_evidence", "knowledge_facts", "memory_entities", "entities", "entity_aliases")
+    t = {n: table(spark, d, n) for n in names}
+    out = A.purged(t, t["memories"].where("state = 'archived'"))
+    counts = [out[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
+    for c in counts[1:]:
+        counts[0] = counts[0].unionByName(c)
+    return counts[0]
+
+
+def evidence_by_day(spark: SparkSession, d: str) -> DataFrame:
+    c = evidence_counts(table(spark, d, "memory_evidence").where("observed_at IS NOT NULL"))
+    return c.select(F.col("window.start").alias("day"), "source_type", "rows")
+
+
+QUERIES = {f.__name__: f for f in (memory_listing, memory_access, memory_top, memory_duplicates, memory_merges, memory_buckets, memory_violations, memory_reflection, lineage_historical, lineage_distinct, lineage_dangling, lineage_pairs, lineage_contradictions, lineage_degrees, evidence_view, index_current, index_candidates, index_live_counts, index_status, index_counts, graph_resolved, graph_mentions, graph_links, graph_degrees, graph_orphans, graph_edges, graph_closure, conflict_report, legacy_evidence, purge_effect, evidence_by_day)}
 
 _T = r"regexp_replace(lower(regexp_replace(relationship_type, '^\s+|\s+$', '', 'g')), '[-_\s]+', '_', 'g')"
 _HIST = f"hist AS (SELECT DISTINCT source_memory_id AS memory_id FROM memory_relationships WHERE {_T} IN ('superseded_by', 'fulfilled_by') AND source_memory_id IS NOT NULL)"
@@ -187,4 +213,15 @@ SELECT DISTINCT id, unnest(e) AS entity_id FROM (SELECT id, e, row_number() OVER
     "graph_degrees": "SELECT entity_id, count(DISTINCT memory_id) AS memories FROM memory_entities WHERE memory_id IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1",
     "graph_orphans": "SELECT id FROM entities WHERE id NOT IN (SELECT entity_id FROM memory_entities WHERE entity_id IS NOT NULL) AND normalized_name NOT IN (SELECT entity_key FROM knowledge_facts WHERE entity_key IS NOT NULL) AND id NOT IN (SELECT entity_id FROM entity_aliases WHERE entity_id IS NOT NULL)",
     "graph_edges": "SELECT DISTINCT s.id AS source_id, t.id AS target_id, attribute_key AS relationship FROM knowledge_facts f JOIN entities s ON s.normalized_name = f.entity_key JOIN entities t ON t.normalized_name = lower(trim(f.value_key)) WHERE NOT coalesce(is_placeholder, false) AND s.id <> t.id",
+    "conflict_report": f"WITH {_HIST}, {_CURRENT} SELECT tenant, entity_key, attribute_key, count(DISTINCT value_key) AS values FROM cur WHERE single_valued AND NOT is_placeholder AND NOT is_negated AND temporal_state = 'CURRENT' AND memory_id IN (SELECT id FROM memories WHERE state <> 'archived' AND NOT coalesce(is_contradicted, false)) AND memory_id NOT IN (SELECT memory_id FROM hist) GROUP BY 1, 2, 3 HAVING count(DISTINCT value_key) > 1",
+    "legacy_evidence": "SELECT id AS memory_id, created_at AS observed_at, 'LEGACY' AS decision FROM memories WHERE id NOT IN (SELECT memory_id FROM memory_evidence WHERE memory_id IS NOT NULL)",
+    "purge_effect": """WITH g AS (SELECT id FROM memories WHERE state = 'archived'), me AS (SELECT * FROM memory_entities WHERE memory_id IS NULL OR memory_id NOT IN (SELECT id FROM g)),
+o AS (SELECT DISTINCT entity_id AS id FROM memory_entities WHERE entity_id IS NOT NULL AND entity_id NOT IN (SELECT entity_id FROM me WHERE entity_id IS NOT NULL))
+SELECT 'memories' AS name, count(*) AS rows FROM memories WHERE id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'memory_relationships', count(*) FROM memory_relationships WHERE coalesce(source_memory_id NOT IN (SELECT id FROM g), true) AND coalesce(target_memory_id NOT IN (SELECT id FROM g), true)
+UNION ALL SELECT 'memory_evidence', count(*) FROM memory_evidence WHERE coalesce(memory_id NOT IN (SELECT id FROM g), true)
+UNION ALL SELECT 'knowledge_facts', count(*) FROM knowledge_facts WHERE coalesce(memory_id NOT IN (SELECT id FROM g), true)
+UNION ALL SELECT 'memory_entities', count(*) FROM me UNION ALL SELECT 'entities', count(*) FROM entities WHERE id NOT IN (SELECT id FROM o)
+UNION ALL SELECT 'entity_aliases', count(*) FROM entity_aliases WHERE entity_id NOT IN (SELECT id FROM o)""",
+    "evidence_by_day": "SELECT time_bucket(INTERVAL 1 DAY, observed_at) AS day, source_type, count(*) AS rows FROM memory_evidence WHERE observed_at IS NOT NULL GROUP BY 1, 2",
 }

@@ -24,6 +24,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("memory_id_a"), F.greatest("id", "other").alias("memory_id_b")).distinct()
 
 
+def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar memories of every memory whose id is divisible by 20, among all."""
+    m = table(spark, d, "memories")
+    return sv.search(m, m.where("id % 20 = 0"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     links, members = nd.near_duplicate_links(table(spark, d, "memories"), **P2)
     return nd.expand_pairs(links, members).select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
@@ -74,7 +80,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d), table(spark, d, "documents"), table(spark, d, "subject_areas"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 
 _PAIRS = r"""
 WITH RECURSIVE m AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM memories),

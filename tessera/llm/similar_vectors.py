@@ -10,7 +10,7 @@ exactly (reranked) in double precision.
 Cells. About 2 * sqrt(n) centroids are fitted on a bounded sample (SAMPLE rows, a hash of the id picks
 them); every row is indexed. In the self-search a row is placed in its SPILL nearest cells and is both
 query and data there, so two rows meet when any of their nearest cells agree. In the search of a stated
-query set, rows lie in one cell and queries visit ``probes`` of them.
+query set, rows lie in one cell and queries visit the number of cells that a calibration finds.
 
 Skew. Rows with equal vectors beyond the k + 1 of least id are answered without a search: their most
 similar rows are the first k of them, at similarity 1. A cell expected to hold more than CELL_ROWS rows
@@ -34,6 +34,11 @@ MAX_CELLS = 16_384
 SPILL = 3
 EPSILON = 3.0
 CELL_ROWS = 16_384
+#: The search of a query set: the recall that decides how many cells it visits, queries to find that
+#: number, rows of a block, and a tighter bound, as the k-th best of near-random vectors leaves little room.
+RECALL, CALIBRATION, BLOCK_ROWS, SEARCH_EPSILON = 0.93, 256, 32_768, 1.9
+#: Share of a tile from which reranking it is one product.
+DENSE = 0.02
 SEED = 7
 
 
@@ -248,16 +253,156 @@ def most_similar(records: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     return out if copies is None else out.unionByName(copies)
 
 
-def search(records: DataFrame, queries: DataFrame, id_col: str = "id", vec_col: str = "embedding", *, dim: int = 64, k: int = 10, probes: float = 0.25) -> DataFrame:
+BLOCKED = "block int, role tinyint, id bigint, cell int, f float, code binary, vec binary, cells binary"
+
+
+def _place_blocks(cells: np.ndarray, order: np.ndarray, blocks: int, dim: int, visits: int | None):
+    """mapInArrow function: data rows (``visits`` None) go to their cell's block, or a part of it by id;
+    a query goes once to each block that has any of its ``visits`` nearest cells, with the list of them.
+
+    ``order`` gives each cell's first block and number of blocks.
+    """
+    rot = rotation(dim)
+    first, wide = order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 2048):
+                b = big.slice(lo, 2048)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                raw = np.asarray(b.column(1).flatten(), np.float32).reshape(-1, dim)
+                unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+                score = unit @ cells.T
+                codes, f = encode(unit, rot)
+                row = np.arange(len(ids))
+                if visits is None:
+                    cell = score.argmax(1)
+                    block, lists = first[cell] + ids % wide[cell], [b""] * len(ids)
+                else:
+                    near = np.argpartition(score, len(cells) - visits, axis=1)[:, -visits:] if visits < len(cells) else np.tile(np.arange(len(cells)), (len(ids), 1))
+                    row, c = np.repeat(row, near.shape[1]), near.ravel()
+                    row, c = np.repeat(row, wide[c]), np.repeat(c, wide[c])
+                    at = first[c] + _within(wide[near.ravel()])
+                    key = row * blocks + at
+                    o = np.lexsort((c, key))
+                    key, c = key[o], c[o].astype(np.int32)
+                    start = np.flatnonzero(np.diff(key, prepend=-1))
+                    lists = [x.tobytes() for x in np.split(c, start[1:])]
+                    row, block = key[start] // blocks, key[start] % blocks
+                    cell = np.full(len(row), -1)
+                take = pa.array(row)
+                cols = [pa.array(block.astype(np.int32)), pa.array(np.full(len(row), 1 if visits is None else 2, np.int8)), pa.array(ids[row].astype(np.int64)), pa.array(cell.astype(np.int32)), pa.array(f[row])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(_rows(codes), pa.binary()).take(take), pa.array(_rows(raw), pa.binary()).take(take), pa.array(lists, pa.binary())], names=["block", "role", "id", "cell", "f", "code", "vec", "cells"])
+
+    return run
+
+
+def _search_blocks(dim: int, k: int):
+    """applyInArrow function over a block of cells: the k best rows of each query that visits it."""
+    rot = rotation(dim)
+
+    def run(t: pa.Table) -> pa.Table:
+        role = t.column("role").to_numpy()
+        d, q = t.filter(pa.array(role == 1)), t.filter(pa.array(role == 2))
+        if not d.num_rows or not q.num_rows:
+            return FOUND.empty_table()
+        d = d.sort_by("cell")
+        ids, qids, cell, f = d.column("id").to_numpy(), q.column("id").to_numpy(), d.column("cell").to_numpy(), d.column("f").to_numpy()
+        unit, asked = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (_vectors(x.column("vec"), dim).astype(np.float64) for x in (d, q)))
+        codes = np.frombuffer(b"".join(d.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        unit32, asked32 = unit.astype(np.float32), asked.astype(np.float32)
+        turned = asked32 @ rot.T
+        lists = [np.frombuffer(x, np.int32) for x in q.column("cells").to_pylist()]
+        who, want = np.repeat(np.arange(len(qids)), [len(x) for x in lists]), np.concatenate(lists)
+        o = np.argsort(want, kind="stable")
+        who, want = who[o], want[o]
+        best, names = np.full((len(qids), k), -2.0), np.full((len(qids), k), -1, np.int64)
+        for c in np.unique(cell):
+            lo, hi = np.searchsorted(cell, [c, c + 1])
+            near = who[slice(*np.searchsorted(want, [c, c + 1]))]
+            for a in range(0, len(near), 1024):
+                n = near[a : a + 1024]
+                for x in range(lo, hi, 2048):
+                    y = min(x + 2048, hi)
+                    est, err = estimate(turned[n], codes[x:y], f[x:y])
+                    err *= SEARCH_EPSILON / EPSILON
+                    r, s = np.nonzero(est + err >= best[n, -1:])
+                    keep = qids[n[r]] != ids[x + s]
+                    r, s = r[keep], s[keep]
+                    if len(r) > DENSE * est.size:  # many to rerank: one product is cheaper than pair by pair
+                        sim = (asked32[n] @ unit32[x:y].T)[r, s].astype(np.float64)
+                    else:
+                        sim = np.einsum("ij,ij->i", asked32[n[r]], unit32[x + s]).astype(np.float64)
+                    ok = sim >= best[n[r], -1]
+                    r, s, sim = n[r[ok]], ids[x + s[ok]], sim[ok]
+                    got = np.unique(r)
+                    r = np.concatenate([r, np.repeat(got, k)])
+                    sim, s = np.concatenate([sim, best[got].ravel()]), np.concatenate([s, names[got].ravel()])
+                    o = np.lexsort((s, -sim, r))
+                    r, s, sim = r[o], s[o], sim[o]
+                    top = _within(np.bincount(r, minlength=len(qids))[got]) < k
+                    best[got], names[got] = sim[top].reshape(-1, k), s[top].reshape(-1, k)
+        r, j = np.nonzero(names >= 0)
+        at = np.argsort(ids)
+        exact = np.einsum("ij,ij->i", asked[r], unit[at[np.searchsorted(ids, names[r, j], sorter=at)]])
+        return pa.table([qids[r], names[r, j], exact], schema=FOUND)
+
+    return run
+
+
+def visits_for(vectors: DataFrame, queries: DataFrame, cells: np.ndarray, dim: int, k: int, recall: float) -> int:
+    """The fewest cells to visit so that the sampled queries find ``recall`` of their k nearest rows.
+
+    About CALIBRATION queries (picked by a hash of the id) are compared with every row exactly; each
+    neighbour counts at the rank its cell has for the query. At most k rows for each of them reach the
+    driver.
+    """
+    n = queries.count()
+    pick = F.pmod(F.xxhash64(F.col("id"), F.lit(SEED + 1)), F.lit(1 << 20)) < int(min(1.0, CALIBRATION / max(n, 1)) * (1 << 20))
+    t = queries.where(pick).toArrow()
+    if not t.num_rows:
+        return len(cells)
+    ids = t.column("id").to_numpy()
+    q = np.asarray(t.column("v").combine_chunks().flatten(), np.float32).reshape(-1, dim)
+    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    rank = np.argsort(np.argsort(-(q @ cells.T), axis=1), axis=1).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            x = np.asarray(b.column(1).flatten(), np.float32).reshape(-1, dim)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            home = np.concatenate([(x[i : i + 4096] @ cells.T).argmax(1) for i in range(0, len(x), 4096)])
+            sim = q @ x.T
+            sim[ids[:, None] == own[None, :]] = -2
+            m = min(k, len(own))
+            top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+            at = np.repeat(np.arange(len(q)), m)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sim[at, top.ravel()].astype(np.float64)), pa.array(rank[at, home[top.ravel()]])], names=["q", "sim", "rank"])
+
+    near = vectors.mapInArrow(run, "q bigint, sim double, rank int")
+    w = Window.partitionBy("q").orderBy(F.desc("sim"))
+    ranks = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("rank").toArrow().column("rank").to_numpy()
+    return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else len(cells)
+
+
+def search(records: DataFrame, queries: DataFrame, id_col: str = "id", vec_col: str = "embedding", *, dim: int = 64, k: int = 10, recall: float = RECALL) -> DataFrame:
     """(id, other, similarity, rank): the k most similar of ``records`` for each row of ``queries``.
 
-    ``probes`` is the share of the cells that a query visits (1.0 compares with the codes of all rows).
-    A query's own id is not its neighbour. Unusable vectors take no part on either side.
+    A query visits as many of its nearest cells as a bounded sample of the queries needs to find
+    ``recall`` of its true neighbours (1.0 visits all that any of them needs); measured recall is in the
+    README. A query's own id is not its neighbour. Unusable vectors take no part on either side; ids are
+    not negative. Cells are gathered into blocks of about BLOCK_ROWS
+    rows and a bigger cell is cut into several blocks by id, so no task holds an unbounded group.
     """
     v, q = usable(records, id_col, vec_col, dim), usable(queries, id_col, vec_col, dim)
     n = v.count()
     cells, share = fit_cells(v, n, dim)
-    parts = np.maximum(1, np.ceil(share * n / CELL_ROWS)).astype(np.int64)
-    visits = max(1, int(np.ceil(probes * len(cells))))
-    placed = v.mapInArrow(_place(cells, parts, dim, 1, 1), _PLACED_DDL).unionByName(q.mapInArrow(_place(cells, parts, dim, visits, 2), _PLACED_DDL))
-    return _best(_searched(placed, dim, k, -1.0), k)
+    size = share * n
+    wide = np.maximum(1, np.ceil(size / BLOCK_ROWS)).astype(np.int64)
+    group = np.floor(np.cumsum(np.where(wide > 1, 0, size)) / BLOCK_ROWS).astype(np.int64)
+    first = np.where(wide > 1, group.max() + 1 + np.cumsum(np.where(wide > 1, wide, 0)) - wide, group)
+    blocks = int((first + wide).max())
+    visits = visits_for(v, q, cells, dim, k, recall)
+    placed = v.mapInArrow(_place_blocks(cells, (first, wide), blocks, dim, None), BLOCKED).unionByName(q.mapInArrow(_place_blocks(cells, (first, wide), blocks, dim, visits), BLOCKED))
+    return _best(placed.groupBy("block").applyInArrow(_search_blocks(dim, k), "id bigint, other bigint, similarity double"), k)

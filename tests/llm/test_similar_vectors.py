@@ -47,7 +47,7 @@ def test_recall_of_similar_pairs(spark):
 def test_search_of_a_query_set(spark):
     x = clustered(1200, 64, 2)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
-    got = S.search(df, df.where("id % 20 = 0"), probes=0.5)
+    got = S.search(df, df.where("id % 20 = 0"))
     want = brute(dict(enumerate(x)), 10)
     rows = got.collect()
     hit = sum(r.other in want[r.id] for r in rows)

@@ -30,11 +30,10 @@ def resolve(mentions: DataFrame, text_col: str, entities: DataFrame, aliases: Da
 
 
 def spans(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, name, start, words): every run of up to five words, one row for each distinct run."""
+    """(id, words, start, name): every run of up to five words."""
     w = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
     n = w.select("id", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_SPAN), F.size("w")))).alias("words"))
-    s = n.select("id", "words", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("words") + 1), lambda i: F.array_join(F.slice("w", i, F.col("words")), " "))).alias("start", "name"))
-    return s.groupBy("id", "name").agg(F.min("start").alias("start"), F.first("words").alias("words"))
+    return n.select("id", "words", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("words") + 1), lambda i: F.array_join(F.slice("w", i, F.col("words")), " "))).alias("start", "name"))
 
 
 def entities_in(texts: DataFrame, id_col: str, text_col: str, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -43,7 +42,9 @@ def entities_in(texts: DataFrame, id_col: str, text_col: str, entities: DataFram
     Of equal length the earlier run wins. The texts' candidates are few (their runs that are names), so
     the choice is a fold over one short array.
     """
+    # runs that are no name are dropped before anything is grouped
     hit = spans(texts, id_col, text_col).where(F.col("name") != USER).join(names(entities, aliases), "name")
+    hit = hit.groupBy("id", "name", "entity_id").agg(F.min("start").alias("start"), F.first("words").alias("words"))
     per = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("words")).alias("order"), "start", "words", "entity_id"))).alias("s"))
     kind = "array<struct<order:int,start:int,words:int,entity_id:bigint>>"
     apart = lambda p, s: (p["start"] + p["words"] <= s["start"]) | (s["start"] + s["words"] <= p["start"])

@@ -69,6 +69,8 @@ def connected_components(edges: DataFrame, a: str, b: str, keys: list[str] | Non
         ha, hb = hooks.select(*keys, F.col("node").alias("a"), F.col("to").alias("ta")), hooks.select(*keys, F.col("node").alias("b"), F.col("to").alias("tb"))
         e = e.join(ha, [*keys, "a"], "left").withColumn("a", F.coalesce("ta", "a")).drop("ta").join(hb, [*keys, "b"], "left").withColumn("b", F.coalesce("tb", "b")).drop("tb")
         e = materialize(e.where("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    else:  # each round at least halves the labels that have neighbours
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return label
 
 

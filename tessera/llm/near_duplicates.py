@@ -12,7 +12,10 @@ the tests for the measured recall.
 Scale. Runs of words that occur in more than the share ``COMMON`` of the records (form labels, stock
 phrases) get a weight falling with their frequency, down to WEIGHT_FLOOR; there are at most (runs per record) / COMMON such
 runs, whatever the number of records, so their table is safe to broadcast, and records that share
-only boilerplate do not meet. Equal sets are collapsed before hashing and expanded at the end. Tables
+only boilerplate do not meet. The weights would also hide the pairs of a large group, whose own text is common: two
+records that both have a common run are therefore not left to hashing but joined exactly, on the prefixes of their
+runs from the rarest on (a pair at the threshold shares a run of both prefixes). A pair of which one record has
+no common run loses nothing by the weights. Equal sets are collapsed before hashing and expanded at the end. Tables
 are joined by one equi-join on the masked block; a 128-bit sketch carried in each row drops pairs far
 from the threshold inside the join, and the survivors are compared exactly.
 """
@@ -42,6 +45,12 @@ COMMON_LIMIT = 200_000
 #: Standard deviations by which a pair's sketch distance may exceed what the threshold makes likely.
 SLACK = 4.0
 SKETCH_BITS = 128
+#: The exact join orders runs by how often their hash bucket occurs; any order is exact, a rough count of fixed size is enough.
+ORDER_BITS = 18
+#: Records in a cell of the exact join: a run in more prefixes is split into cells of two parts each.
+CELL = 4096
+#: Runs that a row of the exact join carries at most, by which pairs are kept from meeting again at a later run.
+BEFORE = 32
 
 
 def words(text: Column) -> Column:
@@ -95,7 +104,7 @@ def _signatures(sets: list[np.ndarray], weight_keys: np.ndarray, weight_values:
 
 
 def _tables(repeats: int, weight_keys: np.ndarray, weight_values: np.ndarray):
-    """mapInPandas function: a row (table, key, id, k0, k1) for each record and masked block."""
+    """mapInPandas function: a row (key, id, k0, k1, common) for each record and masked block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lines = np.array(LINES)
@@ -112,11 +121,69 @@ def _tables(repeats: int, weight_keys: np.ndarray, weight_values: np.ndarray):
                     keys.append(k + np.arange(7, dtype=np.uint64) + np.uint64(7 * r))
                 key = np.concatenate(keys, axis=1)
                 m = key.shape[1]
-                yield pd.DataFrame({"key": key.ravel().view(np.int64), "id": np.repeat(part["id"].to_numpy(), m), "k0": np.repeat(sketch[:, 0].view(np.int64), m), "k1": np.repeat(sketch[:, 1].view(np.int64), m)})
+                common = np.array([_has_common(np.asarray(s, np.int64).view(np.uint64), weight_keys) for s in part["s"]], bool)
+                yield pd.DataFrame({"key": key.ravel().view(np.int64), "id": np.repeat(part["id"].to_numpy(), m), "k0": np.repeat(sketch[:, 0].view(np.int64), m), "k1": np.repeat(sketch[:, 1].view(np.int64), m), "common": np.repeat(common, m)})
 
     return run
 
 
+def _has_common(s: np.ndarray, keys: np.ndarray) -> bool:
+    if not len(keys):
+        return False
+    return bool((keys[np.minimum(np.searchsorted(keys, s), len(keys) - 1)] == s).any())
+
+
+def _prefixes(keys: np.ndarray, often, threshold: float):
+    """mapInPandas function: a row (h, id, pos, size, before) for each run of the prefix of each record with a common run.
+
+    The prefix is the |s| - ceil(threshold |s|) + 1 runs that come first by (count of the bucket, hash);
+    ``before`` has the first of the runs ahead of this one, BEFORE at most.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, columns = often.value, ["h", "id", "pos", "size", "before"]
+        for b in batches:
+            out: list[tuple] = []
+            for i, s in zip(b["id"], b["s"], strict=True):
+                s = np.asarray(s, np.int64)
+                if not _has_common(s.view(np.uint64), keys):
+                    continue
+                s = s[np.lexsort((s, counts[s & ((1 << ORDER_BITS) - 1)]))]
+                n = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
+                out += [(s[j], i, j, len(s), s[: min(j, BEFORE)]) for j in range(min(n, len(s)))]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def _common_pairs(sets: DataFrame, reps: DataFrame, keys: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b), possibly repeated: all pairs of records with a common run that can reach the threshold."""
+    spark = sets.sparkSession
+    bucket = F.col("h").bitwiseAND(F.lit((1 << ORDER_BITS) - 1))
+    rows = sets.select(F.explode("s").alias("h")).groupBy(bucket.alias("k")).count().toArrow()
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    counts[rows.column("k").to_numpy()] = rows.column("count").to_numpy()
+    often = spark.sparkContext.broadcast(counts)
+    runs = reps.mapInPandas(_prefixes(keys, often, threshold), "h bigint, id bigint, pos int, size int, before array<bigint>")
+    # a hot run is cut into parts, and each pair of parts is a cell of its own
+    hot = runs.groupBy("h").count().where(F.col("count") > CELL).select("h", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
+    hot = materialize(hot)  # at most (prefix runs) / CELL rows
+    r = runs.join(F.broadcast(hot), "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    r = r.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    r = r.select("h", "id", "pos", "size", "before", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    x, y = r.alias("x"), r.alias("y")
+    own_cell = (F.least("x.part", "y.part") == F.col("x.lo")) & (F.greatest("x.part", "y.part") == F.col("x.hi"))
+    # at the first shared run the overlap is bounded by what follows it in both
+    most = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    reach = most * (1 + threshold) >= threshold * (F.col("x.size") + F.col("y.size")) - 1e-9
+    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    return x.join(y, same & (F.col("x.id") < F.col("y.id")) & own_cell & reach & ~F.arrays_overlap("x.before", "y.before")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def common_runs(sets: DataFrame, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and weights of the runs found in more than ``share`` of the records.
 
@@ -156,13 +223,17 @@ def near_duplicate_links(records: DataFrame, id_col: str = "id", text_col: str =
     members = materialize(_equal_groups(sets))
     reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi")
     keys, weights = common_runs(sets)
-    tables = reps.mapInPandas(_tables(repeats, keys, weights), "key bigint, id bigint, k0 bigint, k1 bigint")
+    tables = reps.mapInPandas(_tables(repeats, keys, weights), "key bigint, id bigint, k0 bigint, k1 bigint, common boolean")
     # an unweighted one-bit coordinate differs with chance (1 - J) / 2
     p = (1 - threshold) / 2
     cut = int(SKETCH_BITS * p + SLACK * (SKETCH_BITS * p * (1 - p)) ** 0.5)
     x, y = tables.alias("x"), tables.alias("y")
     far = F.bit_count(F.col("x.k0").bitwiseXOR(F.col("y.k0"))) + F.bit_count(F.col("x.k1").bitwiseXOR(F.col("y.k1")))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (far <= cut)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    hashed = ~(F.col("x.common") & F.col("y.common"))  # the others are joined exactly
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & hashed & (far <= cut)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    if len(keys):
+        pairs = pairs.unionByName(_common_pairs(sets, reps, keys, threshold))
+    pairs = pairs.distinct()
     sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
     links = both.select("a", "b", (F.col("c") / (F.size("sa") + F.size("sb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)

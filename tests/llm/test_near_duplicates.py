@@ -69,3 +69,22 @@ def test_empty_table(spark):
     links, members = N.near_duplicate_links(spark.createDataFrame([], SCHEMA))
     assert N.expand_pairs(links, members).count() == 0
     assert N.near_duplicate_groups(links, members).count() == 0
+
+
+@pytest.mark.parametrize("cell", [4096, 150])
+def test_a_group_holding_a_third_of_the_rows(spark, monkeypatch, cell):
+    monkeypatch.setattr(N, "CELL", cell)
+    rng = random.Random(5)
+    base = [f"g{i}" for i in range(40)]
+    rows = []
+    for i in range(1200):
+        if i % 3:
+            w = [f"u{i}x{j}" for j in range(40)]
+        else:  # the end of each copy is rewritten: pairs are at 0.45 to 0.8
+            e = rng.randrange(6, 16)
+            w = base[: 40 - e] + [f"e{i}x{j}" for j in range(e)]
+        rows.append((i, " ".join(w), 7))
+    links, members = N.near_duplicate_links(spark.createDataFrame(rows, SCHEMA), shingle=3, threshold=0.5, min_words=15)
+    got = [(r.a, r.b) for r in N.expand_pairs(links, members).collect()]
+    want = brute(rows, 3, 0.5, 15)
+    assert len(want) > 20_000 and len(got) == len(set(got)) and set(got) == want

@@ -50,6 +50,38 @@ class Store:
 
     memories: dict[int, Memory] = field(default_factory=dict)
     links: set[tuple[int, int, str]] = field(default_factory=set)
+    #: Unit vectors of the memories, a row for each memory that has or had one; rows of archived ones are not live.
+    units: np.ndarray | None = None
+    rows: dict[int, int] = field(default_factory=dict)
+    ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    lives: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
+
+    def place(self, m: Memory) -> None:
+        """Bring the row of a memory up to its vector and state; to be called when either changes."""
+        if m.vector is None:
+            if m.id in self.rows:
+                self.lives[self.rows[m.id]] = False
+            return
+        at = self.rows.setdefault(m.id, len(self.rows))
+        if at >= len(self.ids):
+            size = max(64, 2 * at)
+            units = np.zeros((size, len(m.vector)))
+            if self.units is not None:
+                units[: len(self.units)] = self.units
+            self.units, self.ids, self.lives = units, np.resize(self.ids, size) if at else np.zeros(size, np.int64), np.append(self.lives, np.zeros(size - len(self.lives), bool))
+        self.units[at], self.ids[at], self.lives[at] = m.vector / (np.linalg.norm(m.vector) or 1), m.id, m.state != "archived"
+
+    def nearest(self, vector: np.ndarray, pool: int) -> list[tuple[Memory, float]]:
+        """The ``pool`` nearest live memories by cosine distance, then id: one product, then the edge scored exactly."""
+        n = len(self.rows)
+        k = min(pool, int(self.lives[:n].sum()))
+        if not k:
+            return []
+        d = np.where(self.lives[:n], 1 - self.units[:n] @ (vector / (np.linalg.norm(vector) or 1)), np.inf)
+        at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + 1e-9)
+        close = [self.memories[int(i)] for i in self.ids[at]]
+        scored = sorted(((1 - float(vector @ m.vector / (np.linalg.norm(vector) * np.linalg.norm(m.vector) or 1)), m.id, m) for m in close), key=lambda x: x[:2])
+        return [(m, x) for x, _, m in scored[:k]]
 
     def historical(self) -> set[int]:
         return {s for s, _, kind in self.links if kind in ("superseded_by", "fulfilled_by")}
@@ -136,15 +168,11 @@ def assess(new: dict | None, content: str, candidates: list[tuple[Memory, float
 
 def candidates_of(store: Store, fact: dict | None, vector: np.ndarray | None) -> list[tuple[Memory, float | None]]:
     """Nearest live memories first, then newest of the fact's domain without a distance."""
-    live = [m for m in store.memories.values() if m.state != "archived"]
-    near: list[tuple[Memory, float | None]] = []
-    if vector is not None:
-        with_vector = [m for m in live if m.vector is not None]
-        scored = sorted(((1 - float(vector @ m.vector / (np.linalg.norm(vector) * np.linalg.norm(m.vector) or 1)), m.id, m) for m in with_vector), key=lambda x: x[:2])
-        near = [(m, d) for d, _, m in scored[:SEMANTIC_POOL]]
+    near: list[tuple[Memory, float | None]] = [] if vector is None else list(store.nearest(vector, SEMANTIC_POOL))
     if not fact or not fact["attribute"] or fact["attribute"] == extraction.NO_ATTRIBUTE or fact["is_placeholder"] or fact["is_question"]:
         return near
     past, seen = store.historical(), {m.id for m, _ in near}
+    live = (m for m in store.memories.values() if m.state != "archived")
     fits = [m for m in live if m.fact and not m.fact["is_placeholder"] and not m.fact["is_question"] and not m.is_contradicted and m.id not in past and same_domain(fact, m.fact) and (single_valued(fact) or norm(m.fact["value"]) == norm(fact["value"]))]
     fits = sorted(fits, key=lambda m: -m.id)[:STRUCTURAL_POOL]
     return [*near, *((m, None) for m in fits if m.id not in seen)]
@@ -167,6 +195,7 @@ def step(store: Store, seq: int, content: str, category: str | None, fact: dict
     def insert() -> Memory:
         m = Memory(seq, content, category, fact, vector, importance=IMPORTANCE.get((category or "").lower(), 0.40))
         store.memories[seq] = m
+        store.place(m)
         return m
 
     if decision in ("NEW", "RELATED"):
@@ -175,6 +204,7 @@ def step(store: Store, seq: int, content: str, category: str | None, fact: dict
             memory = _strengthen(min(same, key=lambda m: (m.state == "archived", m.id)))
             if memory.is_contradicted:  # stated again: it is a claim once more
                 memory.state, memory.is_contradicted, memory.contradicted_by_id, memory.version = "active", False, None, memory.version + 1
+                store.place(memory)
         elif found and found[0][1] is not None and found[0][1] <= SAME:
             memory = _strengthen(found[0][0])
         else:
@@ -189,15 +219,18 @@ def step(store: Store, seq: int, content: str, category: str | None, fact: dict
         memory = insert()
         target.state, target.is_contradicted, target.contradicted_by_id = "archived", True, memory.id
         target.confidence, target.version = max(0.0, target.confidence - 0.20), target.version + 1
+        store.place(target)
     else:
         group = [m for m, d in found if m.id not in past and equivalent(fact, content, m, d)]
         memory, others = group[0], group[1:]
         memory.confidence = min(1.0, max(m.confidence for m in group) + 0.05)
         memory.access_count = sum(m.access_count for m in group) + 1
         memory.content, memory.category, memory.fact, memory.vector, memory.version = content, category, fact, vector, memory.version + 1
+        store.place(memory)
         gone = {m.id for m in others}
         for m in others:
             m.state, m.version = "archived", m.version + 1
+            store.place(m)
         moved = {(memory.id if s in gone else s, memory.id if t in gone else t, k) for s, t, k in store.links}
         store.links = {(s, t, k) for s, t, k in moved if s != t} | {(i, memory.id, "merged_into") for i in gone}
     if fact and fact["temporal_state"] == "CURRENT" and not fact["is_negated"]:

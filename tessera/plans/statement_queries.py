@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import extraction
 from tessera.operators import evolution as E
 from tessera.operators import memories as M
+from tessera.operators import retrieval as R
 from tessera.plans import text_queries as TQ
 from tessera.sources.tables import table
 
@@ -56,8 +57,9 @@ def extracted_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evolution_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Every memory stated again in the order of its id, tenant by tenant, without vectors."""
-    s = table(spark, d, "memories").select("tenant", F.col("id").alias("seq"), "content", "category")
+    """Every memory stated again in the order of its id with its vector, tenant by tenant; unusable vectors are null."""
+    usable = (F.size("embedding") == R.DIM) & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    s = table(spark, d, "memories").select("tenant", F.col("id").alias("seq"), "content", "category", F.when(usable, F.col("embedding")).alias("embedding"))
     return E.decisions(E.evolve(s)).withColumn("reason_codes", F.array_join("reason_codes", ","))
 
 

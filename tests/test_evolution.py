@@ -115,3 +115,24 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_empty(spark):
     assert E.evolve(statements(spark).where("false")).count() == 0
+
+
+def test_registered_query_decides_by_vectors(spark, tables):
+    """The store's pool equals a plain scan, and the query has decisions that only distances give."""
+    import numpy as np
+
+    rng, store = np.random.default_rng(4), E.Store()
+    for i in range(300):
+        v = rng.normal(size=8) if i % 3 else np.round(rng.normal(size=8))
+        m = E.Memory(i, str(i), None, None, v, state="archived" if i % 7 == 0 else "active")
+        store.memories[i] = m
+        store.place(m)
+    for _ in range(50):
+        v = rng.normal(size=8)
+        live = [m for m in store.memories.values() if m.state != "archived"]
+        want = sorted((1 - float(v @ m.vector / (np.linalg.norm(v) * np.linalg.norm(m.vector) or 1)), m.id) for m in live)[:5]
+        assert [(d, m.id) for m, d in store.nearest(v, 5)] == want
+    from tessera.plans import statement_queries as Q
+
+    reasons = {r.reason_codes for r in Q.evolution_decisions(spark, tables).select("reason_codes").distinct().collect()}
+    assert {"semantic_near_duplicate", "semantically_related"} & reasons

@@ -30,8 +30,8 @@ from tessera.scale import materialize
 
 HASH_BITS = 18
 BACKGROUND = 10
-PASSES = 4
-INNER = 3
+PASSES = 6
+INNER = 6
 LABELLED = 50_000
 #: Dirichlet priors: of a topic's terms; of a subject in a sentence (not labelled, given, not given by the
 #: raters); of a background topic in a sentence.

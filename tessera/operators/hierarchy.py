@@ -29,13 +29,15 @@ def type_form(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[-_\s]+", "_")
 
 
-def lineage_edges(links: DataFrame, types: tuple[str, ...] = LINEAGE_TYPES) -> DataFrame:
-    """Distinct (relationship_type, child, parent); rows with a null end or another type are left out.
-
-    A child with several parents in a type keeps the one with the least id, so that a path is unique.
-    """
+def lineage_links(links: DataFrame, types: tuple[str, ...] = LINEAGE_TYPES) -> DataFrame:
+    """(relationship_type, child, parent); rows with a null end or another type are left out."""
     e = links.select(type_form(F.col("relationship_type")).alias("relationship_type"), F.col("source_memory_id").cast("bigint").alias("child"), F.col("target_memory_id").cast("bigint").alias("parent"))
-    return e.where(F.col("relationship_type").isin(*types) & F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy("relationship_type", "child").agg(F.min("parent").alias("parent"))
+    return e.where(F.col("relationship_type").isin(*types) & F.col("child").isNotNull() & F.col("parent").isNotNull())
+
+
+def lineage_edges(links: DataFrame, types: tuple[str, ...] = LINEAGE_TYPES) -> DataFrame:
+    """Distinct :func:`lineage_links`; a child with several parents in a type keeps the one with the least id, so that a path is unique."""
+    return lineage_links(links, types).groupBy("relationship_type", "child").agg(F.min("parent").alias("parent"))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, keys: list[str] | None = None, max_rounds: int = 60) -> DataFrame:
@@ -107,12 +109,13 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
 def _doubled(edges: DataFrame) -> DataFrame:
     """The same rows for components of any size: pointer doubling with joins, log2(depth) rounds.
 
-    A pointer that has not come to a root after more steps than there are nodes is in a circle.
+    A pointer that has not come to a root after more steps than there are nodes is in a circle. All nodes
+    of a circle meet themselves in the same round, where their pointers have the whole circle.
     """
     nodes = edges.select("relationship_type", F.explode(F.array("child", "parent")).alias("memory_id")).distinct()
     limit = edges.count() + 1
     p = nodes.join(edges.withColumnRenamed("child", "memory_id"), ["relationship_type", "memory_id"], "left")
-    p = materialize(p.select("relationship_type", "memory_id", F.col("parent").alias("at"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<bigint>")).alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("bigint").alias("steps")))
+    p = materialize(p.select("relationship_type", "memory_id", F.col("parent").alias("at"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<bigint>")).alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("bigint").alias("steps"), F.lit(None).cast("array<bigint>").alias("cycle")))
     step = 1
     while step < limit:
         # pointers with a next stop are joined with that stop's own pointer; the others are done
@@ -121,7 +124,7 @@ def _doubled(edges: DataFrame) -> DataFrame:
         # a node on a circle would make its path grow without end: it is cut when the node meets itself
         moved = open_.join(q, ["relationship_type", "at"], "left")
         circling = F.array_contains("up", F.col("memory_id")) | F.exists("up2", lambda x: x == F.col("memory_id")) | (F.size(F.array_distinct(F.concat("up", "up2"))) < F.size("up") + F.size("up2")) | (F.col("steps2") < 0)
-        moved = moved.select("relationship_type", "memory_id", F.when(circling, F.lit(None).cast("bigint")).otherwise(F.col("at2")).alias("at"), F.when(circling, F.array().cast("array<bigint>")).otherwise(F.concat("up", "up2")).alias("up"), F.when(circling, F.lit(-1).cast("bigint")).otherwise(F.col("steps") + F.col("steps2")).alias("steps"))
+        moved = moved.select("relationship_type", "memory_id", F.when(circling, F.lit(None).cast("bigint")).otherwise(F.col("at2")).alias("at"), F.when(circling, F.array().cast("array<bigint>")).otherwise(F.concat("up", "up2")).alias("up"), F.when(circling, F.lit(-1).cast("bigint")).otherwise(F.col("steps") + F.col("steps2")).alias("steps"), F.when(circling & F.array_contains(F.concat("up", "up2"), F.col("memory_id")), F.array_sort(F.slice(F.concat("up", "up2"), 1, F.array_position(F.concat("up", "up2"), F.col("memory_id")).cast("int")))).alias("cycle"))
         p = materialize(done.unionByName(moved))
         if p.where("at IS NOT NULL").limit(1).count() == 0:
             break
@@ -133,7 +136,7 @@ def _doubled(edges: DataFrame) -> DataFrame:
         F.when(circle, F.lit(-1).cast("bigint")).when(F.size("up") == 0, F.col("memory_id")).otherwise(F.element_at("up", -1)).alias("root_id"),
         F.when(circle, F.lit(-1)).otherwise(F.size("up")).cast("int").alias("depth"),
         F.when(circle, F.lit("")).otherwise(F.array_join(F.concat(F.reverse("up"), F.array("memory_id")), "/")).alias("path"),
-        F.lit(None).cast("array<bigint>").alias("cycle"),
+        "cycle",
     )
 
 
@@ -141,8 +144,8 @@ def hierarchies(links: DataFrame, types: tuple[str, ...] = LINEAGE_TYPES, walk_n
     """(relationship_type, memory_id, root_id, depth, path, cycle) for each id of each lineage type.
 
     Ids on a circle, or whose parents lead into one, have root_id -1, depth -1 and an empty path; an
-    id on a circle also has the circle's ids in ``cycle`` (components walked in one task only). A link
-    to itself is a circle. Repeated and null-ended links change nothing; no links give no rows.
+    id on a circle also has the circle's ids in ``cycle``. A link to itself is a circle. A child goes by its
+    least parent; an id that is only another parent of it is a root of its own. Repeated and null-ended links change nothing; no links give no rows.
     """
     edges = materialize(lineage_edges(links, types))
     component = connected_components(edges, "child", "parent", ["relationship_type"])
@@ -152,6 +155,8 @@ def hierarchies(links: DataFrame, types: tuple[str, ...] = LINEAGE_TYPES, walk_n
     packs = PACKS * int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = placed.where(F.col("nodes") <= walk_nodes).withColumn("pack", F.pmod(F.xxhash64("relationship_type", "component"), F.lit(packs)))
     walked = small.groupBy("pack").applyInPandas(_walk, RESULT)
+    lone = lineage_links(links, types).select("relationship_type", F.col("parent").alias("node")).distinct().join(component, ["relationship_type", "node"], "left_anti")
+    walked = walked.unionByName(lone.select("relationship_type", F.col("node").alias("memory_id"), F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"), F.lit(None).cast("array<bigint>").alias("cycle")))
     if placed.where(F.col("nodes") > walk_nodes).limit(1).count() == 0:
         return walked
     return walked.unionByName(_doubled(placed.where(F.col("nodes") > walk_nodes).select("relationship_type", "child", "parent")))

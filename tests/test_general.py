@@ -42,6 +42,16 @@ def test_hierarchies(spark, walk):
         assert {r.memory_id: tuple(r.cycle) for r in got if r.cycle} == {**{i: (100, 101, 102) for i in (100, 101, 102)}, 110: (110,), 7: (7,)}
 
 
+def test_both_paths_give_equal_rows_with_circles(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 1), (6, 5), (7, 6), (10, 11), (11, 10), (12, 11), (20, 20), (21, 20), (30, 31), (32, 31), (30, 39)]
+    df = spark.createDataFrame([(i, s, t, "merged_into", "") for i, (s, t) in enumerate(edges)], LINKS)
+    rows = lambda walk: {r.memory_id: (r.root_id, r.depth, r.path, r.cycle) for r in H.hierarchies(df, walk_nodes=walk).collect()}
+    walked, doubled = rows(5_000), rows(0)
+    assert walked == doubled and set(walked) == {x for e in edges for x in e}
+    assert doubled[3][3] == [1, 2, 3, 4, 5] and doubled[10][3] == [10, 11] and doubled[20][3] == [20] and doubled[7][3] is None
+    assert doubled[39] == (39, 0, "39", None)
+
+
 def test_hierarchies_of_nothing(spark):
     assert H.hierarchies(spark.createDataFrame([], LINKS)).count() == 0
     assert H.descendants(H.hierarchies(spark.createDataFrame([(1, None, None, None, None)], LINKS))).count() == 0

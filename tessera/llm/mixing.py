@@ -21,21 +21,39 @@ def source_form(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[-_\s]+", "-")
 
 
-def rates(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def _filled(limits: list[tuple[float, float]], total: float) -> float:
+    """The scale x at which min(limit, share * x), summed over (limit, share), gives ``total`` (or all there is)."""
+    got, share = 0.0, sum(s for _, s in limits)
+    for limit, s in sorted(limits, key=lambda p: p[0] / p[1]):
+        if got + share * limit / s >= total:
+            break
+        got, share = got + limit, share - s
+    return (total - got) / share if share > 1e-12 else float("inf")
+
+
+def rates(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, *, exact: bool = False) -> DataFrame:
     """(source, target_share, max_repeats, tokens, rate): a row for each target source.
 
-    rate is the expected copies of each document. Without ``total_tokens`` the mixture is the largest
-    in which every source reaches its share within its repeats; with it, a source that is too small
-    stays at max_repeats. Targets without documents, without share or with null fields have rate 0 and
-    do not limit the others.
+    rate is the expected copies of each document. The mixture has ``total_tokens``; without it, as many
+    tokens as the documents of the target sources have. A source that cannot reach its share within
+    its repeats gives all of them, and the others make up for it in proportion to their targets;
+    :func:`shares` tells what was reached. With ``exact`` the total is lowered until every source has
+    exactly its share, so that the scarcest one sets the size. Targets without documents, without share or
+    with null fields have rate 0 and leave their part to the others. ``targets`` is a table of settings, a
+    row for each source, and is read by the driver.
     """
     t = targets.select(source_form(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats")).where("source IS NOT NULL")
+    t = t.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     j = materialize(t.join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))))
     live = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
-    largest = j.where(live).agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).first()[0] or 0.0
-    total = float(largest if total_tokens is None else total_tokens)
-    return j.withColumn("rate", F.when(live, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * total / F.col("tokens"))).otherwise(0.0))
+    rows = j.where(live).select((F.col("max_repeats") * F.col("tokens")).cast("double").alias("limit"), F.col("target_share").cast("double").alias("s"), "tokens").collect()
+    total = float(sum(r["tokens"] for r in rows) if total_tokens is None else total_tokens)
+    scale = _filled([(r["limit"], r["s"]) for r in rows], total) if rows else 0.0
+    if exact and rows:
+        scale = min(total / sum(r["s"] for r in rows), *(r["limit"] / r["s"] for r in rows))
+    wanted = F.least(F.col("max_repeats") * F.col("tokens"), F.col("target_share") * F.lit(scale))
+    return j.withColumn("rate", F.when(live, wanted / F.col("tokens")).otherwise(0.0))
 
 
 def mix(sized: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:

@@ -41,7 +41,7 @@ def test_mix(spark):
     rows = [(i, ["Big", " big", "BIG "][i % 3] if i < 6000 else "small_one" if i < 6500 else None if i < 6600 else "other", int(rng.integers(5, 300)), 1) for i in range(7000)]
     sized = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, copy int").drop("copy").withColumn("source", M.source_form(F.col("source")))
     targets = spark.createDataFrame([("big", 0.6, 1), ("Small-One", 0.4, 3), ("absent", 0.1, 2), (None, 0.1, 1), ("other", None, None)], "source string, target_share double, max_repeats int")
-    rated = M.rates(sized, targets)
+    rated = M.rates(sized, targets, exact=True)
     mixed = M.mix(sized, rated)
     s = {r.source: r for r in M.shares(mixed, rated).collect()}
     assert abs(s["big"].actual_share - 0.6) < 0.005 and s["small-one"].most_repeats == 3 and s["absent"].tokens == 0
@@ -52,6 +52,23 @@ def test_mix(spark):
     assert M.mix(sized.limit(0), M.rates(sized.limit(0), targets)).count() == 0
 
 
+def test_mix_of_the_corpus_size(spark):
+    """A source that is too small gives all it may, the others fill up by their targets; rows follow the input."""
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 3), ("a", 0.5, 2)], "source string, target_share double, max_repeats int")
+    taken = []
+    for n in (1000, 10_000):
+        rows = [(i, "a" if i % 20 < 12 else "b" if i % 20 < 19 else "c", 10 + i % 7) for i in range(n)]
+        sized = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+        rated = M.rates(sized, targets)
+        s = {r.source: r for r in M.shares(M.mix(sized, rated), rated).collect()}
+        assert s["c"].rate == 3.0 and s["c"].most_repeats == 3 and abs(s["c"].actual_share - 0.15) < 0.01
+        assert abs(s["a"].actual_share / s["b"].actual_share - 5 / 3) < 0.03 and abs(sum(r.actual_share for r in s.values()) - 1) < 1e-9
+        assert abs(sum(r.tokens for r in s.values()) / sum(r[2] for r in rows) - 1) < 0.01 and len(s) == 3
+        taken.append(M.mix(sized, rated).count())
+    assert abs(taken[1] / taken[0] - 10) < 0.2
+    assert {r.rate for r in M.rates(sized, targets, total_tokens=10**9).collect()} == {2.0, 3.0}
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world", "a"), (2, "", "b"), (3, None, "c"), (None, "x", "d"), (4, "word " * 20_000, "e")], "doc_id bigint, text string, n_tokens string")
     got = {r.doc_id: r.n_tokens for r in T.with_tokens(df).collect()}

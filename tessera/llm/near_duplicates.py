@@ -1,23 +1,21 @@
 """Near-duplicate records with small edits, by covering locality-sensitive hashing.
 
 A record is the set of runs of ``shingle`` successive words. Its signature has ``REPEATS`` blocks of
-seven weighted min-hash coordinates; two records agree in a coordinate with a chance equal to the
-weighted Jaccard similarity of their sets. A block is masked seven ways, each mask keeping the three
-coordinates of a line of the Fano plane. Any two points miss at least two of the lines, so every pair
-whose blocks differ in at most two coordinates is certain to collide in some table (most pairs that
-differ in three do as well); that is the covering guarantee. Blocks are independent, which brings
-the recall of pairs at the threshold itself (0.5) to about 0.98 and above 0.995 from 0.55 on; see
-the tests for the measured recall.
-
-Scale. Runs of words that occur in more than the share ``COMMON`` of the records (form labels, stock
-phrases) get a weight falling with their frequency, down to WEIGHT_FLOOR; there are at most (runs per record) / COMMON such
-runs, whatever the number of records, so their table is safe to broadcast, and records that share
-only boilerplate do not meet. The weights would also hide the pairs of a large group, whose own text is common: two
-records that both have a common run are therefore not left to hashing but joined exactly, on the prefixes of their
-runs from the rarest on (a pair at the threshold shares a run of both prefixes). A pair of which one record has
-no common run loses nothing by the weights. Equal sets are collapsed before hashing and expanded at the end. Tables
-are joined by one equi-join on the masked block; a 128-bit sketch carried in each row drops pairs far
-from the threshold inside the join, and the survivors are compared exactly.
+seven min-hash coordinates; two records agree in a coordinate with a chance equal to the Jaccard
+similarity of their sets. A block is masked seven ways, each mask keeping the three coordinates of a line
+of the Fano plane. Any two points miss at least two of the lines, so every pair whose blocks differ in at
+most two coordinates (the covering radius: five of seven agree, an estimated similarity of 0.71) is certain
+to collide in some table, as do four fifths of the pairs that differ in three and a fifth of those that
+differ in four. Blocks are independent; a pair of similarity 0.5 is within reach of a block in half of all
+cases, which gives 1 - 2^-REPEATS = 0.984, 0.993 at 0.55 and 0.9996 at 0.7.
+
+Every record is hashed alike, whatever it shares with how many others, so recall does not depend on the
+size of a group or of the collection. Equal sets are collapsed before hashing and expanded at the end.
+Tables are joined by one equi-join on the masked block; a 128-bit sketch carried in each row drops pairs
+far from the threshold inside the join, and the survivors are compared exactly. A block that very many
+records share (a form, a large group) is cut into parts of about CELL records, and each pair of parts is a
+key of its own, so no task holds it whole; which blocks are hot is told by a sample of the records, as it
+decides about the work's division only and never about the result.
 """
 
 from __future__ import annotations
@@ -35,22 +33,12 @@ from tessera.scale import materialize
 #: The lines of the Fano plane: seven masks of three out of seven coordinates.
 LINES = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
 REPEATS = 6
-#: Share of the records from which a run of words counts as common, and the least number of records
-#: for that, so that the runs of an ordinary group of near-duplicates stay at full weight.
-COMMON, COMMON_LEAST = 0.002, 100.0
-#: Least weight of a common run.
-WEIGHT_FLOOR = 0.1
-#: Broadcast limit for the common runs; above it they are joined instead.
-COMMON_LIMIT = 200_000
 #: Standard deviations by which a pair's sketch distance may exceed what the threshold makes likely.
 SLACK = 4.0
 SKETCH_BITS = 128
-#: The exact join orders runs by how often their hash bucket occurs; any order is exact, a rough count of fixed size is enough.
-ORDER_BITS = 18
-#: Records in a cell of the exact join: a run in more prefixes is split into cells of two parts each.
-CELL = 4096
-#: Runs that a row of the exact join carries at most, by which pairs are kept from meeting again at a later run.
-BEFORE = 32
+#: Records of a masked block in a part, and the part of the records (1 in HOT_SAMPLE, by a hash of the id)
+#: that tells which blocks are larger than that.
+CELL, HOT_SAMPLE = 4096, 64
 
 
 def words(text: Column) -> Column:
@@ -76,129 +64,82 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _signatures(sets: list[np.ndarray], weight_keys: np.ndarray, weight_values: np.ndarray, coordinates: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted min-hash coordinates [n, coordinates] and packed one-bit sketches [n, bits / 64]."""
+def _signatures(sets: list[np.ndarray], coordinates: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Min-hash coordinates [n, coordinates] and packed one-bit sketches [n, bits / 64]."""
     flat = np.concatenate(sets).view(np.uint64)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    weight = np.ones(len(flat))
-    if len(weight_keys):
-        at = np.minimum(np.searchsorted(weight_keys, flat), len(weight_keys) - 1)
-        hit = weight_keys[at] == flat
-        weight[hit] = weight_values[at[hit]]
-    rate = -1.0 / weight
     coords = np.empty((len(sets), coordinates), np.uint64)
     sketch = np.zeros((len(sets), bits // 64), np.uint64)
-    owner = np.repeat(np.arange(len(sets)), np.diff(np.append(starts, len(flat))))
     for k in range(coordinates + bits):
-        h = _mix(flat + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        least = np.minimum.reduceat(_mix(flat + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), starts)
         if k < coordinates:
-            e = np.log((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) * rate
-            least = np.minimum.reduceat(e, starts)
-            at = np.flatnonzero(e == least[owner])
-            coords[owner[at], k] = h[at]
+            coords[:, k] = least
         else:
-            bit = np.minimum.reduceat(h, starts) & np.uint64(1)
             j = k - coordinates
-            sketch[:, j // 64] |= bit << np.uint64(j % 64)
+            sketch[:, j // 64] |= (least & np.uint64(1)) << np.uint64(j % 64)
     return coords, sketch
 
 
-def _tables(repeats: int, weight_keys: np.ndarray, weight_values: np.ndarray):
-    """mapInPandas function: a row (key, id, k0, k1, common) for each record and masked block."""
+def _masked(coords: np.ndarray, repeats: int) -> np.ndarray:
+    """[n, 7 * repeats]: the hash of each block under each mask."""
+    keys = []
+    for r in range(repeats):
+        c = coords[:, 7 * r : 7 * r + 7][:, np.array(LINES)]  # [n, 7 masks, 3 coordinates]
+        k = _mix(c[:, :, 0] + np.uint64(7 * r + 1))
+        for j in (1, 2):
+            k = _mix(k * np.uint64(3) + c[:, :, j])
+        keys.append(k + np.arange(7, dtype=np.uint64) + np.uint64(7 * r))
+    return np.concatenate(keys, axis=1).view(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines = np.array(LINES)
-        for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.iloc[lo : lo + 2000]
-                coords, sketch = _signatures([np.asarray(s, np.int64) for s in part["s"]], weight_keys, weight_values, 7 * repeats, SKETCH_BITS)
-                keys = []
-                for r in range(repeats):
-                    c = coords[:, 7 * r : 7 * r + 7][:, lines]  # [n, 7 masks, 3 coordinates]
-                    k = _mix(c[:, :, 0] + np.uint64(7 * r + 1))
-                    for j in (1, 2):
-                        k = _mix(k * np.uint64(3) + c[:, :, j])
-                    keys.append(k + np.arange(7, dtype=np.uint64) + np.uint64(7 * r))
-                key = np.concatenate(keys, axis=1)
-                m = key.shape[1]
-                common = np.array([_has_common(np.asarray(s, np.int64).view(np.uint64), weight_keys) for s in part["s"]], bool)
-                yield pd.DataFrame({"key": key.ravel().view(np.int64), "id": np.repeat(part["id"].to_numpy(), m), "k0": np.repeat(sketch[:, 0].view(np.int64), m), "k1": np.repeat(sketch[:, 1].view(np.int64), m), "common": np.repeat(common, m)})
 
-    return run
+def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for lo in range(0, len(b), 2000):
+        yield b.iloc[lo : lo + 2000]
 
 
-def _has_common(s: np.ndarray, keys: np.ndarray) -> bool:
-    if not len(keys):
-        return False
-    return bool((keys[np.minimum(np.searchsorted(keys, s), len(keys) - 1)] == s).any())
+def _keys(repeats: int):
+    """mapInPandas function: (key) of each record and masked block."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in (p for b in batches for p in _parts(b)):
+            yield pd.DataFrame({"key": _masked(_signatures([np.asarray(s, np.int64) for s in part["s"]], 7 * repeats, 0)[0], repeats).ravel()})
 
-def _prefixes(keys: np.ndarray, often, threshold: float):
-    """mapInPandas function: a row (h, id, pos, size, before) for each run of the prefix of each record with a common run.
+    return run
 
-    The prefix is the |s| - ceil(threshold |s|) + 1 runs that come first by (count of the bucket, hash);
-    ``before`` has the first of the runs ahead of this one, BEFORE at most.
-    """
+
+def _tables(repeats: int):
+    """mapInPandas function: a row (key, id, k0, k1) for each record and masked block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, columns = often.value, ["h", "id", "pos", "size", "before"]
-        for b in batches:
-            out: list[tuple] = []
-            for i, s in zip(b["id"], b["s"], strict=True):
-                s = np.asarray(s, np.int64)
-                if not _has_common(s.view(np.uint64), keys):
-                    continue
-                s = s[np.lexsort((s, counts[s & ((1 << ORDER_BITS) - 1)]))]
-                n = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
-                out += [(s[j], i, j, len(s), s[: min(j, BEFORE)]) for j in range(min(n, len(s)))]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+        for part in (p for b in batches for p in _parts(b)):
+            coords, sketch = _signatures([np.asarray(s, np.int64) for s in part["s"]], 7 * repeats, SKETCH_BITS)
+            key = _masked(coords, repeats)
+            row = np.repeat(np.arange(len(key)), key.shape[1])
+            yield pd.DataFrame({"key": key.ravel(), "id": part["id"].to_numpy()[row], "k0": sketch[row, 0].view(np.int64), "k1": sketch[row, 1].view(np.int64)})
 
     return run
 
 
-def _common_pairs(sets: DataFrame, reps: DataFrame, keys: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b), possibly repeated: all pairs of records with a common run that can reach the threshold."""
-    spark = sets.sparkSession
-    bucket = F.col("h").bitwiseAND(F.lit((1 << ORDER_BITS) - 1))
-    rows = sets.select(F.explode("s").alias("h")).groupBy(bucket.alias("k")).count().toArrow()
-    counts = np.zeros(1 << ORDER_BITS, np.int64)
-    counts[rows.column("k").to_numpy()] = rows.column("count").to_numpy()
-    often = spark.sparkContext.broadcast(counts)
-    runs = reps.mapInPandas(_prefixes(keys, often, threshold), "h bigint, id bigint, pos int, size int, before array<bigint>")
-    # a hot run is cut into parts, and each pair of parts is a cell of its own
-    hot = runs.groupBy("h").count().where(F.col("count") > CELL).select("h", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
-    hot = materialize(hot)  # at most (prefix runs) / CELL rows
-    r = runs.join(F.broadcast(hot), "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    r = r.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    r = r.select("h", "id", "pos", "size", "before", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    x, y = r.alias("x"), r.alias("y")
-    own_cell = (F.least("x.part", "y.part") == F.col("x.lo")) & (F.greatest("x.part", "y.part") == F.col("x.hi"))
-    # at the first shared run the overlap is bounded by what follows it in both
-    most = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    reach = most * (1 + threshold) >= threshold * (F.col("x.size") + F.col("y.size")) - 1e-9
-    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
-    return x.join(y, same & (F.col("x.id") < F.col("y.id")) & own_cell & reach & ~F.arrays_overlap("x.before", "y.before")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-
-def common_runs(sets: DataFrame, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and weights of the runs found in more than ``share`` of the records.
-
-    At most (mean runs per record) / share rows, as the frequencies sum to the number of runs; that
-    bound is checked against COMMON_LIMIT and the share raised to fit if records are very long.
+def _hot_blocks(reps: DataFrame, repeats: int) -> DataFrame:
+    """(key, parts): masked blocks expected to hold more than CELL records, and into how many parts to cut each."""
+    sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).select("s").mapInPandas(_keys(repeats), "key bigint")
+    count = F.col("count") * HOT_SAMPLE
+    return materialize(sample.groupBy("key").count().where(count > CELL).select("key", F.ceil(count / CELL).cast("int").alias("parts")))
+
+
+def _cut_hot(tables: DataFrame, hot: DataFrame) -> DataFrame:
+    """``tables`` with hot blocks cut: a row for each pair of parts of which one is the record's own.
+
+    The pair is hashed into the key. ``side`` tells apart the two parts of a pair, whose rows are only
+    to meet each other; it is -1 where all rows of the key are to meet. Spark broadcasts ``hot`` if its
+    size allows that and shuffles otherwise.
     """
-    n, runs = sets.agg(F.count(F.lit(1)), F.sum(F.size("s"))).first()
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0)
-    share = max(share, runs / n / COMMON_LIMIT)
-    least = max(share * n, COMMON_LEAST)
-    rows = sets.select(F.explode("s").alias("h")).groupBy("h").count().where(F.col("count") > least).collect()
-    keys = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([max(least / r["count"], WEIGHT_FLOOR) for r in rows], float)[order]
+    t = tables.join(hot, "key", "left")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+    t = t.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("parts").isNull() | (F.col("own") == F.col("other")), -1).otherwise((F.col("own") < F.col("other")).cast("int"))
+    return t.select(key.alias("key"), "id", "k0", "k1", side.cast("tinyint").alias("side"))
 
 
 def _equal_groups(sets: DataFrame) -> DataFrame:
@@ -222,17 +163,18 @@ def near_duplicate_links(records: DataFrame, id_col: str = "id", text_col: str =
     sets = materialize(shingle_sets(records.select(id_col, text_col), id_col, text_col, shingle, min_words))
     members = materialize(_equal_groups(sets))
     reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi")
-    keys, weights = common_runs(sets)
-    tables = reps.mapInPandas(_tables(repeats, keys, weights), "key bigint, id bigint, k0 bigint, k1 bigint, common boolean")
-    # an unweighted one-bit coordinate differs with chance (1 - J) / 2
+    tables = reps.mapInPandas(_tables(repeats), "key bigint, id bigint, k0 bigint, k1 bigint")
+    hot = _hot_blocks(reps, repeats)
+    cut_up = hot.limit(1).count() > 0
+    if cut_up:
+        tables = _cut_hot(tables, hot)
+    # a one-bit coordinate differs with chance (1 - J) / 2
     p = (1 - threshold) / 2
     cut = int(SKETCH_BITS * p + SLACK * (SKETCH_BITS * p * (1 - p)) ** 0.5)
     x, y = tables.alias("x"), tables.alias("y")
     far = F.bit_count(F.col("x.k0").bitwiseXOR(F.col("y.k0"))) + F.bit_count(F.col("x.k1").bitwiseXOR(F.col("y.k1")))
-    hashed = ~(F.col("x.common") & F.col("y.common"))  # the others are joined exactly
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & hashed & (far <= cut)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    if len(keys):
-        pairs = pairs.unionByName(_common_pairs(sets, reps, keys, threshold))
+    apart = (F.col("x.side") < 0) | (F.col("x.side") != F.col("y.side")) if cut_up else F.lit(True)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (far <= cut) & apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     pairs = pairs.distinct()
     sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))

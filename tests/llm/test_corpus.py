@@ -25,15 +25,48 @@ def test_pack(spark):
     assert P.pack(spark.createDataFrame([], LENGTHS)).count() == 0 and P.report(P.pack(df.where("doc_id < 0"))).first().containers == 0
 
 
+def used_up(loads, capacity: int) -> tuple[np.ndarray, int]:
+    used, fitted = np.zeros(capacity + 1, np.int64), 0
+    for l in loads:
+        assert sum(x * t for d in (l.fitted, l.later) for x, t in d.items()) == l.used <= capacity and l.times > 0
+        for d in (l.fitted, l.later):
+            for x, t in d.items():
+                used[x] += t * l.times
+        fitted += sum(l.fitted.values()) * l.times
+    return used, fitted
+
+
 def test_plan_uses_up_the_histogram():
     h = np.zeros(101, np.int64)
     h[[3, 50, 51, 99, 100]] = [7, 5, 1, 2, 3]
-    used = np.zeros_like(h)
-    for p, times in P.plan(h):
-        assert sum(x * t for x, t in p.items()) <= 100
-        for x, t in p.items():
-            used[x] += t * times
-    assert (used == h).all()
+    assert (used_up(P.plan(h), 100)[0] == h).all()
+    rng = np.random.default_rng(9)
+    for capacity in (1, 2, 17, 300):
+        for n in (1, 5, 200):
+            h = np.bincount(rng.integers(1, capacity + 1, n), minlength=capacity + 1)
+            assert (used_up(P.plan(h), capacity)[0] == h).all()
+    assert P.plan(np.zeros(50, np.int64)) == []
+
+
+@pytest.mark.parametrize("n", [1000, 10_000, 200_000])
+def test_fitted_patterns_place_most_documents(n):
+    """Lengths as in a corpus: many short ones, a long tail, some that fill a container."""
+    length = np.minimum(np.random.default_rng(n).lognormal(3.6, 1.3, n).astype(int) + 4, 2048)
+    h = np.bincount(length, minlength=2049)
+    loads = P.plan(h)
+    used, fitted = used_up(loads, 2048)
+    assert (used == h).all() and fitted >= 0.8 * n
+    least = -(-length.sum() // 2048)
+    assert sum(l.times for l in loads) <= max(least + 1, 1.003 * least)
+
+
+def test_fit_is_the_least_squares_solution():
+    """No pattern could lessen the misfit, and those in use are at a stationary point."""
+    rng = np.random.default_rng(3)
+    patterns, h = rng.integers(0, 4, (60, 8)), rng.integers(1, 50, 8).astype(float)
+    x = P.non_negative_fit(patterns, h, np.ones(8))
+    gain = patterns @ (h - x @ patterns)
+    assert x.min() >= 0 and (x > 0).sum() <= 8 and gain.max() < 1e-6 and np.abs(gain[x > 0]).max() < 1e-6
 
 
 def test_mix(spark):

@@ -61,13 +61,19 @@ PLACEHOLDERS = {"this", "that", "it", "something", "anything"}
 MISSING, NO_ATTRIBUTE = "unknown", "general"
 BE = {"am", "is", "are", "was", "were", "be", "been", "being", "'m", "'s", "'re"}
 HELPERS = {"do", "does", "did", "will", "would", "have", "has", "had", "can", "could", "should", "may", "might", "not", "n't", "never", "no", "to"}
-ADVERBS = {"now", "currently", "also", "really", "often", "usually", "always", "primarily", "mainly", "mostly", "still", "just", "already", "currently", "recently", "longer", "formerly", "previously", "anymore", "today", "then", "back", "sometimes", "once"}
+TIMES = {"day", "week", "weekend", "month", "quarter", "year", "years", "months", "weeks", "days", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"}
+CLAUSE_WORDS = {"or", "but", "because", "while", "who", "which", "when", "where", "if", "although", "though"}
+ADVERBS = {"now", "soon", "currently", "also", "really", "often", "usually", "always", "primarily", "mainly", "mostly", "still", "just", "already", "currently", "recently", "longer", "formerly", "previously", "anymore", "today", "tomorrow", "tonight", "then", "back", "sometimes", "once"}
 PREPOSITIONS = {"in", "at", "to", "for", "on", "with", "from", "near", "by", "of", "as", "into", "about", "around", "during", "since", "until", "after", "before", "over", "under", "through"}
 DETERMINERS = {"a", "an", "the", "my", "our", "your", "his", "her", "their", "its", "this", "that", "these", "those", "some", "any", "every", "each"}
 QUESTION_WORDS = {"what", "where", "who", "when", "which", "how", "why"}
-IRREGULAR = {"went": "go", "bought": "buy", "ate": "eat", "drank": "drink", "ran": "run", "drove": "drive", "met": "meet", "had": "have", "has": "have", "did": "do", "saw": "see", "made": "make", "took": "take", "left": "leave", "knew": "know", "wrote": "write", "spent": "spend"}
+IRREGULAR = {"went": "go", "bought": "buy", "ate": "eat", "drank": "drink", "ran": "run", "drove": "drive", "met": "meet", "had": "have", "has": "have", "did": "do", "saw": "see", "made": "make", "took": "take", "left": "leave", "knew": "know", "wrote": "write", "spent": "spend", "said": "say", "told": "tell"}
 KNOWN_VERBS = {*(VERB_ATTRIBUTES.keys() - {"employed"}), *INTENTIONS, *IRREGULAR.values(), "use", "visit", "eat", "drink", "drive", "read", "want", "need", "travel", "relocate", "change", "exercise", "turn", "pick", "collect", "run", "thank", "remind", "sound"} - {"do"}
 DEICTIC = {"there", "here"}
+#: Verb to relation of the entity graph; the first in the list that the statement has wins.
+RELATIONS = (("like", "likes"), ("love", "likes"), ("enjoy", "likes"), ("prefer", "prefers"), ("study", "studies"), ("learn", "studies"), ("work", "works_at"), ("live", "lives_in"), ("own", "owns"), ("use", "uses"))
+MENTIONS, USER, CONCEPT = "mentions", "user", "CONCEPT"
+NO_ENTITY = {"what", "who", "whom", "which", "where", "when", "why", "how", "something", "anything", "everything", "nothing", "thing", "things", "someone", "anyone", "everyone", "one"}
 ABBREVIATED = {"'ve": "have", "'ll": "will", "'d": "would"}
 
 
@@ -145,7 +151,8 @@ def extract_fact(text: str | None) -> Fact | None:
     if not raw:
         return None
     question = raw.endswith("?")
-    clause = re.sub(r"(?i)^(before|after|when|while|since|as of today|right now|at the moment)\b[^,]*,\s*", "", raw)
+    clause = re.sub(r"(?i)^(someone|somebody|people|they|he|she)\s+(said|says|say|told me|claims?|mentioned)\s+(that\s+)?", "", raw)
+    clause = re.sub(r"(?i)^(before|after|when|while|since|as of today|right now|at the moment)\b[^,]*,\s*", "", clause)
     clause = re.sub(r"(?i)^(right now|as of today|currently|now|today|these days)\s+", "", clause)
     words = [w for w in _words(clause) if w not in {".", "!", "?"}]
     low_all = {w.lower() for w in _words(raw)}
@@ -186,7 +193,7 @@ def extract_fact(text: str | None) -> Fact | None:
             break
     if verb is None and passive_be:
         verb, tense = "be", "past" if past_helper else "base"
-    after = rest[i:]
+    after = _cut(rest[i:])
     negated = bool(low_all & {"not", "no", "never", "anymore"})
 
     attribute, kind = _attribute(verb, subject, after, entity)
@@ -209,22 +216,39 @@ def extract_fact(text: str | None) -> Fact | None:
     return Fact(entity, attribute or NO_ATTRIBUTE, value, kind, state, relation, negated, placeholder_subject or value.lower() in PRONOUNS, question, round(min(confidence, 0.95), 2))
 
 
+def _cut(after: list[str]) -> list[str]:
+    """The words behind the verb up to another clause or a stretch of time; ``likes to drink x`` is about x."""
+    low = [w.lower() for w in after]
+    if len(low) > 2 and low[0] == "to" and _lemma(low[1]):
+        return _cut(after[2:])
+    for i, w in enumerate(low):
+        nxt = low[i + 1] if i + 1 < len(low) else ""
+        joined = w == "and" and (_lemma(nxt) or nxt in BE | HELPERS | USER_WORDS | PRONOUNS)
+        time = (w in {"next", "last"} and nxt in TIMES) or nxt == "ago"
+        if i and (w in CLAUSE_WORDS or joined or time):
+            return after[: i - 1] if time and low[i - 1] in {"a", "some", "many", "several", "few", "two", "three"} else after[:i]
+    return after
+
+
 def _statement_order(words: list[str]) -> list[str]:
     """``What city do I live in`` as ``I live in city``: the asked phrase goes behind the verb."""
     low = [w.lower() for w in words]
     at = next((i for i, w in enumerate(low) if w in {"do", "does", "did", "am", "is", "are", "was", "were", "will"}), None)
     if at is None:
         return words[1:]
-    return [*words[at + 1 : at + 2], words[at], *words[at + 2 :], *words[1:at]]
+    end = at + 2
+    while end < len(words) and words[end][0].isupper() and words[at + 1][0].isupper():
+        end += 1
+    return [*words[at + 1 : end], words[at], *words[end:], *words[1:at]]
 
 
 def _entity(subject: list[str], own: bool, rest: list[str]) -> tuple[str, str | None]:
     """The entity that the fact is about, and its relation to the user."""
     low = [w.lower() for w in subject]
     relation = next((n for n in RELATION_NOUNS if n in low and own), None)
-    names = [w for w in subject if w[0].isupper() and w.lower() not in USER_WORDS | PRONOUNS | DETERMINERS]
-    if names and (low[0] in DETERMINERS or len(names) == len(subject)):
-        return " ".join(names), relation
+    names = [w for w in subject if w == "," or (w[0].isupper() and w.lower() not in USER_WORDS | PRONOUNS | DETERMINERS)]
+    if any(w != "," for w in names) and (low[0] in DETERMINERS or len(names) == len(subject)):
+        return " ".join(names).replace(" ,", ",").strip(" ,"), relation
     if not subject or low[-1] in USER_WORDS:
         return "user", relation
     if own and low and low[0] == "my":
@@ -300,22 +324,119 @@ def facts(content: Column) -> Column:
     return run(content)
 
 
-def entities(text: str | None) -> list[tuple[str, str]]:
-    """(key, label) of names and noun phrases in a statement, each key once, names first."""
+def named(text: str | None, fact: Fact | None = None) -> list[tuple[str, str]]:
+    """(key, label) of names and concepts in a statement, each key once, names first.
+
+    A name is a run of capitalised words; a concept is the fact's value or another object of the sentence.
+    """
     words = _words((text or "").strip())
     runs: list[list[str]] = [[]]
     for i, w in enumerate(words):
-        if w[0].isupper() and w.lower() not in USER_WORDS | PRONOUNS | DETERMINERS and not (i == 0 and w.lower() in PREPOSITIONS | QUESTION_WORDS):
+        if w[0].isupper() and w.lower() not in USER_WORDS | PRONOUNS | DETERMINERS | NO_ENTITY and not (i == 0 and _opens(words)):
             runs[-1].append(w)
         elif runs[-1]:
             runs.append([])
-    named = [(" ".join(r).lower(), "NAME") for r in runs if r]
-    f = extract_fact(text)
-    if f and not f.is_placeholder:
-        named.append((f.value.lower(), "CONCEPT"))
+    found = [(" ".join(r), "NAME") for r in runs if r]
+    fact = fact or extract_fact(text)
+    if fact and not fact.is_placeholder:
+        found.append((fact.value, CONCEPT))
+    part: list[str] = []
+    for w in [*words[1:], "."]:
+        low = w.lower()
+        if low in PREPOSITIONS or low in CLAUSE_WORDS | {"and"} or not re.match(r"\w", w) or _lemma(low) or low in BE | HELPERS:
+            name = _phrase(part) if part else ""
+            if name and name[0].islower() and not any(x[0].isupper() for x in part) and name.lower() not in USER_WORDS | PRONOUNS | TIMES:
+                found.append((name, CONCEPT))
+            part = []
+        elif not (w[0].isupper() and not part):
+            part.append(w)
     out: dict[str, str] = {}
-    for k, label in named:
-        key = " ".join(w for w in k.split() if w not in DETERMINERS)
-        if key and key not in out:
+    for k, label in found:
+        key = entity_key(k)
+        if key and key not in NO_ENTITY | USER_WORDS | PRONOUNS and key not in out:
             out[key] = label
     return list(out.items())
+
+
+def _opens(words: list[str]) -> bool:
+    """Whether the first word is capital only because it begins the sentence."""
+    first = words[0].lower()
+    return first in PREPOSITIONS | QUESTION_WORDS | HELPERS | BE | ADVERBS | CLAUSE_WORDS or _lemma(first) is not None or not (len(words) > 1 and (words[1][0].isupper() or _lemma(words[1].lower()) or words[1].lower() in BE | HELPERS))
+
+
+def entity_key(name: str) -> str:
+    """Lower case, single spaces, no edge punctuation, leading determiners or final 's."""
+    words = [w.strip(X.EDGE_PUNCTUATION) for w in name.lower().split()]
+    words = [w for w in words if w]
+    while words and words[0] in X.DETERMINERS:
+        words = words[1:]
+    return re.sub(r"'s$", "", " ".join(words))
+
+
+def entities(text: str | None) -> list[tuple[str, str]]:
+    """(key, label) of the entities of a text; see :func:`named`."""
+    return named(text)
+
+
+def relation_of(text: str | None, fact: Fact | None) -> str:
+    """How the subject relates to the fact's value: ``work_with`` and the like, else by the statement's verbs."""
+    if fact and fact.attribute.startswith("work_"):
+        return fact.attribute
+    verbs = {v[0] for w in _words(text or "") if (v := _lemma(w))}
+    return next((r for verb, r in RELATIONS if verb in verbs), MENTIONS)
+
+
+def relationships(text: str | None) -> tuple[str, list[tuple[str, str, str]], list[tuple[str, str, str]]]:
+    """(subject, links, edges) of a statement: links are (key, label, role), edges (source, relation, target).
+
+    The fact's subject is never put in the user's place; the user is tied to a subject that the statement calls
+    a relation of theirs. Only the fact's value gets the statement's relation, other entities are mentioned.
+    """
+    fact = extract_fact(text)
+    subject = entity_key(fact.entity) if fact and fact.entity.lower() != USER else USER
+    value, relation = entity_key(fact.value) if fact else "", relation_of(text, fact)
+    found = named(text, fact)
+    labels = dict(found)
+    links = [(subject, USER if subject == USER else labels.get(subject, CONCEPT), "subject")] if subject else []
+    links += [(k, label, "value" if k == value else "mention") for k, label in found if k != subject]
+    edges = [(USER, f"{fact.relationship_to_user}_of", subject)] if fact and fact.relationship_to_user and subject != USER else []
+    edges += [(subject, relation if k == value else MENTIONS, k) for k, _ in found if subject and k not in (subject, USER)]
+    return subject, links, edges
+
+
+RELATED_DDL = "struct<subject:string,links:array<struct<name:string,label:string,role:string>>,edges:array<struct<source:string,relationship:string,target:string>>>"
+
+
+def related(content: Column) -> Column:
+    """Subject, links and edges of a text column (see :func:`relationships`), in Arrow batches."""
+
+    @F.pandas_udf(RELATED_DDL)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            rows = []
+            for t in s:
+                subject, links, edges = relationships(t)
+                rows.append((subject, [dict(zip(("name", "label", "role"), x, strict=True)) for x in links], [dict(zip(("source", "relationship", "target"), x, strict=True)) for x in edges]))
+            yield pd.DataFrame(rows, columns=["subject", "links", "edges"])
+
+    return run(content)
+
+
+INTENT_DDL = "struct<entity:string,attribute:string,names:array<string>>"
+#: Attributes that tell nothing about what a question asks for.
+UNINFORMATIVE = {NO_ATTRIBUTE, "be", "do"}
+
+
+def asked(query: Column) -> Column:
+    """What a question is about, read from its text: entity, attribute (null if none is told) and entity names."""
+
+    @F.pandas_udf(INTENT_DDL)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            rows = []
+            for t in s:
+                f = extract_fact(t)
+                rows.append((f.entity if f else None, f.attribute if f and f.attribute.lower() not in UNINFORMATIVE else None, [k for k, _ in named(t, f)]))
+            yield pd.DataFrame(rows, columns=["entity", "attribute", "names"])
+
+    return run(query)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """(query_id, precision, recall, reciprocal_rank, ndcg) of each query with a ranking.
+def by_query(order: str):
+    return Window.partitionBy("query_id").orderBy(order)
+
+
+def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, precision, recall, reciprocal_rank, ndcg) of each query with a ranking, or of all ``queries`` (query_id).
 
     ``ranked`` has query_id, item and rank from 1, ``relevant`` has query_id and item. Precision is over
-    the rows returned up to k, recall is 1 without relevant items, nDCG is binary with log2 discounts
-    and 0 without relevant items.
+    the rows returned up to k, recall and nDCG (binary, with log2 discounts) are 1 without relevant items.
     """
     rel = relevant.distinct().withColumn("hit", F.lit(1))
     n = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
@@ -23,6 +27,8 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
         F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
         F.sum(F.when(top, F.col("hit") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
     )
+    if queries is not None:
+        p = queries.select("query_id").distinct().join(p, "query_id", "left").fillna(0, ["shown", "hits", "dcg"])
     p = p.join(n, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("n").cast("int")))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return p.select(
@@ -30,7 +36,7 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
         F.when(F.col("shown") > 0, F.col("hits") / F.col("shown")).otherwise(0.0).alias("precision"),
         F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(1.0).alias("recall"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"),
-        F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"),
+        F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(1.0).alias("ndcg"),
     )
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tessera.functions import extraction
 from tessera.functions import text as X
 from tessera.functions.scoring import IMPORTANCE, SINGLE_VALUED, SINGLE_VALUED_TYPES
+from tessera.scale import materialize
 
 SEMANTIC_POOL, STRUCTURAL_POOL, WIDE_POOL = 5, 50, 50
 #: Statements whose vectors meet the stored ones in one product, and the slack for its rounding.
@@ -461,3 +462,46 @@ def memories(records: DataFrame) -> DataFrame:
 
 def links(records: DataFrame) -> DataFrame:
     return records.where("record = 'link'").select("tenant", F.col("memory_id").alias("source_memory_id"), F.col("target_id").alias("target_memory_id"), "relationship_type")
+
+
+# What a fold leaves beside memories and lineage is derived from its decisions, as joins over all statements.
+
+PROVENANCE = {"source_type": "string", "conversation_id": "string", "message_id": "string", "observed_at": "timestamp"}
+
+
+def evidence(statements: DataFrame, decided: DataFrame, version: str) -> DataFrame:
+    """One row for each statement: the memory that it made or changed, where it came from, what was decided and why.
+
+    ``statements`` may have source_type (api where it is missing), conversation_id, message_id and observed_at.
+    """
+    extra = [F.col(c) if c in statements.columns else F.lit(None).cast(t).alias(c) for c, t in PROVENANCE.items()]
+    s = statements.where("tenant IS NOT NULL AND seq IS NOT NULL").select("tenant", "seq", F.col("content").alias("raw_text"), *extra)
+    confidence = extraction.facts(F.col("raw_text"))["confidence"]
+    j = decided.join(s, ["tenant", "seq"]).withColumn("source_type", F.coalesce("source_type", F.lit("api")))
+    return j.select("tenant", "seq", "memory_id", *PROVENANCE, F.lit("deterministic_nlp").alias("extraction_method"), F.lit(version).alias("extractor_version"), confidence.alias("confidence"), "raw_text", F.lower("decision").alias("decision"), "reason_codes")
+
+
+def graph_changes(statements: DataFrame, decided: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, links, edges) that the statements add to their tenant's graph.
+
+    entities: (tenant, name, entity_type), the type of the first statement that names it; links: (tenant,
+    memory_id, name, role), the role of the first; edges: (tenant, source, relationship, target,
+    memory_id), each once and none to itself. ``aliases`` (alias_normalized, name) stand for their entity.
+    """
+    s = statements.where("tenant IS NOT NULL AND seq IS NOT NULL").select("tenant", "seq", extraction.related(F.col("content")).alias("g"))
+    s = materialize(decided.select("tenant", "seq", "memory_id").join(s, ["tenant", "seq"]))
+
+    def real(df: DataFrame, column: str) -> DataFrame:
+        if aliases is None:
+            return df
+        a = aliases.select(F.col("alias_normalized").alias(column), F.col("name").alias("__name"))
+        return df.join(a, column, "left").withColumn(column, F.coalesce("__name", column)).drop("__name")
+
+    named = real(s.select("tenant", "seq", "memory_id", F.posexplode("g.links").alias("at", "l")).select("tenant", "seq", "memory_id", "at", F.col("l.name").alias("name"), "l.label", "l.role"), "name")
+    first = F.struct("seq", "at")
+    kind = F.when(F.col("label") == extraction.USER, "USER").otherwise(F.col("label"))
+    entities = named.groupBy("tenant", "name").agg(F.min_by(kind, first).alias("entity_type"))
+    links = named.groupBy("tenant", "memory_id", "name").agg(F.min_by("role", first).alias("role"))
+    e = s.select("tenant", "memory_id", F.explode("g.edges").alias("e")).select("tenant", "memory_id", "e.source", "e.relationship", "e.target")
+    edges = real(real(e, "source"), "target").where("source <> target").select("tenant", "source", "relationship", "target", "memory_id").distinct()
+    return entities, links, edges

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import extraction, scoring
+from tessera.functions import text as X
+from tessera.scale import materialize
+
 KEYS = ["tenant", "entity_key", "attribute_key"]
 DERIVED = ["tenant", "entity_key", "attribute_key", "value_key", "value_text", "fact_type", "single_valued", "temporal_state", "is_negated", "is_placeholder", "confidence", "content_sha256", "extractor_version"]
 
@@ -74,3 +78,53 @@ def upsert(index: DataFrame, derived: DataFrame, gone: DataFrame | None = None)
     if gone is not None:
         kept = kept.join(gone.select("memory_id"), "memory_id", "left_anti")
     return kept.unionByName(derived)
+
+
+#: Longest keys; a fact with a longer one has no row.
+KEY_LIMITS = {"entity_key": 255, "attribute_key": 128, "value_key": 255}
+
+
+def derived(memories: DataFrame, version: str) -> DataFrame:
+    """(memory_id, DERIVED..): the index row of each memory whose content states a fact.
+
+    None for questions, for texts without a told attribute, and where a key is empty or too long. Facts
+    that stand for something said elsewhere have a row, marked as placeholder.
+    """
+    f = materialize(memories.where("id IS NOT NULL AND length(trim(content)) > 0").select(F.col("id").alias("memory_id"), "tenant", "content", extraction.facts(F.col("content")).alias("f")))
+    single = scoring.single_valued(F.col("f.attribute"), F.col("f.fact_type"))
+    keys = {f"{k}_key": X.fact_key(F.col(f"f.{k}")) for k in ("entity", "attribute", "value")}
+    r = f.where(f"f.attribute IS NOT NULL AND f.attribute <> '{extraction.NO_ATTRIBUTE}' AND NOT f.is_question").select("memory_id", "tenant", *[c.alias(k) for k, c in keys.items()], F.col("f.value").alias("value_text"), "f.fact_type", single.alias("single_valued"), "f.temporal_state", "f.is_negated", "f.is_placeholder", "f.confidence", F.sha2("content", 256).alias("content_sha256"), F.lit(version).alias("extractor_version"))
+    fits = F.lit(True)
+    for k, n in KEY_LIMITS.items():
+        fits = fits & (F.length(k) <= n)
+    return r.where(fits & (F.length("entity_key") > 0) & (F.length("attribute_key") > 0)).select("memory_id", *DERIVED)
+
+
+def reindexed(index: DataFrame, memories: DataFrame, version: str, everything: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(index, changes): the index brought up to the memories' contents, and what became of each memory.
+
+    ``index`` has one row for each memory_id. Only memories whose row is missing or stale (another content
+    or extractor) are derived anew, all of them with ``everything``. changes: (memory_id, status), written,
+    deleted (a row whose content states no fact any more, or whose memory is gone), none (no row, no fact) or
+    unchanged.
+    """
+    status = materialize(upkeep(index, memories, version))
+    todo = status.where("status <> 'unexpected'" if everything else "status IN ('stale', 'missing')").select("memory_id")
+    new = materialize(derived(memories.join(todo.withColumnRenamed("memory_id", "id"), "id", "left_semi"), version))
+    touched = todo.unionByName(status.where("status = 'unexpected'").select("memory_id"))
+    kept = index.select("memory_id", *DERIVED).join(touched, "memory_id", "left_anti")
+    had, wrote = index.select("memory_id", F.lit(True).alias("had")), new.select("memory_id", F.lit(True).alias("wrote"))
+    c = touched.join(had, "memory_id", "left").join(wrote, "memory_id", "left")
+    c = c.select("memory_id", F.when(F.col("wrote"), "written").when(F.col("had"), "deleted").otherwise("none").alias("status"))
+    return kept.unionByName(new), c.unionByName(kept.select("memory_id", F.lit("unchanged").alias("status")))
+
+
+def consistency(index: DataFrame, memories: DataFrame, version: str) -> DataFrame:
+    """(memory_id, problem): rows that differ from what all contents derive: missing, unexpected or stale."""
+    want = derived(memories, version)
+    same = F.lit(True)
+    for c in DERIVED:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    j = want.alias("a").join(index.alias("b"), F.col("a.memory_id") == F.col("b.memory_id"), "full_outer")
+    problem = F.when(F.col("b.memory_id").isNull(), "missing").when(F.col("a.memory_id").isNull(), "unexpected").when(~same, "stale")
+    return j.select(F.coalesce("a.memory_id", "b.memory_id").alias("memory_id"), problem.alias("problem")).where("problem IS NOT NULL")

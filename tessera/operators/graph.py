@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions import text as X
 from tessera.operators.hierarchy import connected_components
+from tessera.scale import materialize
 
 MAX_SPAN = 5
 USER = "user"
-# Verb lemma to relation, first in the list wins.
-RELATIONS = (("like", "likes"), ("love", "likes"), ("enjoy", "likes"), ("prefer", "prefers"), ("study", "studies"), ("learn", "studies"), ("work", "works_at"), ("live", "lives_in"), ("own", "owns"), ("use", "uses"))
-
-
 def names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, entity_id): names and, where no entity has the name itself, aliases; the least id wins."""
     n = entities.where("normalized_name IS NOT NULL").groupBy(F.col("normalized_name").alias("name")).agg(F.min("id").alias("entity_id"))
@@ -66,12 +62,24 @@ def memories_of(found: DataFrame, memory_entities: DataFrame) -> DataFrame:
     return found.select("id", "entity_id").join(links, "entity_id").select("id", "memory_id").distinct()
 
 
-def orphans(entities: DataFrame, memory_entities: DataFrame, facts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id): entities with no memory, no fact about them and no alias."""
-    e = entities.select("id", "normalized_name")
+def orphans(entities: DataFrame, memory_entities: DataFrame, edges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id): entities with no memory, no alias and no edge (source_id, target_id) to or from them."""
+    e = entities.select("id")
     e = e.join(memory_entities.select(F.col("entity_id").alias("id")), "id", "left_anti")
-    e = e.join(facts.select(F.col("entity_key").alias("normalized_name")), "normalized_name", "left_anti")
-    return e.join(aliases.select(F.col("entity_id").alias("id")), "id", "left_anti").select("id")
+    e = e.join(aliases.select(F.col("entity_id").alias("id")), "id", "left_anti")
+    return e.join(edges.select(F.explode(F.array("source_id", "target_id")).alias("id")), "id", "left_anti")
+
+
+def with_aliases(aliases: DataFrame, added: DataFrame) -> DataFrame:
+    """``aliases`` with (entity_id, alias) as typed: each normalized name once, known ones and empty ones change nothing."""
+    new = added.select("entity_id", X.entity_name(F.col("alias")).alias("alias_normalized")).where("alias_normalized <> '' AND entity_id IS NOT NULL")
+    new = new.groupBy("alias_normalized").agg(F.min("entity_id").alias("entity_id")).join(aliases.select("alias_normalized"), "alias_normalized", "left_anti")
+    return aliases.select("entity_id", "alias_normalized").unionByName(new)
+
+
+def unlinked(frame: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links or edges (any frame with memory_id) without those that the memories in ``ids`` (id) support."""
+    return frame.join(ids.select(F.col("id").alias("memory_id")), "memory_id", "left_anti").select(*frame.columns)
 
 
 def degrees(memory_entities: DataFrame) -> DataFrame:
@@ -79,16 +87,21 @@ def degrees(memory_entities: DataFrame) -> DataFrame:
     return entity_memories(memory_entities).groupBy("entity_id").agg(F.count(F.lit(1)).alias("memories"))
 
 
-def typed_edges(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(source_id, target_id, relationship): distinct edges between entities that facts state.
+def stated_edges(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(source_id, target_id, relationship, memory_id): edges between entities, a row for each memory that states one.
 
     The relation is the attribute; a value counts where it is an entity's name.
     """
     e = entities.select("id", "normalized_name")
-    f = facts.where("NOT coalesce(is_placeholder, false)").select("entity_key", F.lower(F.trim("value_key")).alias("value"), "attribute_key").distinct()
+    f = facts.where("NOT coalesce(is_placeholder, false)").select("entity_key", F.lower(F.trim("value_key")).alias("value"), "attribute_key", "memory_id").distinct()
     s = e.select(F.col("id").alias("source_id"), F.col("normalized_name").alias("entity_key"))
     t = e.select(F.col("id").alias("target_id"), F.col("normalized_name").alias("value"))
-    return f.join(s, "entity_key").join(t, "value").where("source_id <> target_id").select("source_id", "target_id", F.col("attribute_key").alias("relationship")).distinct()
+    return f.join(s, "entity_key").join(t, "value").where("source_id <> target_id").select("source_id", "target_id", F.col("attribute_key").alias("relationship"), "memory_id").distinct()
+
+
+def typed_edges(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(source_id, target_id, relationship): distinct edges between entities that facts state."""
+    return stated_edges(facts, entities).select("source_id", "target_id", "relationship").distinct()
 
 
 def closure(memory_entities: DataFrame) -> DataFrame:
@@ -102,22 +115,45 @@ def closure(memory_entities: DataFrame) -> DataFrame:
     return connected_components(edges, "a", "b").select(F.col("node").alias("entity_id"), "component")
 
 
-EXPANDED = T.StructType([T.StructField("start_id", T.LongType()), T.StructField("entity_id", T.LongType()), T.StructField("hops", T.IntegerType())])
+def neighbours(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(start, name): what an edge (source, target) ties to each name of ``start`` (name), in either direction."""
+    s = start.select(F.col("name").alias("start")).distinct()
+    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    return s.join(both.withColumnsRenamed({"source": "start", "target": "name"}), "start")
 
 
-def expand(memory_entities: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(start_id, entity_id, hops): entities within ``hops`` shared memories of each of ``start`` (entity_id)."""
-    links = entity_memories(memory_entities).select("memory_id", "entity_id")
-    seen = start.select(F.col("entity_id").alias("start_id"), "entity_id", F.lit(0).alias("hops")).distinct()
-    edge = seen
-    for h in range(1, hops + 1):
-        mem = edge.join(links, "entity_id").select("start_id", "memory_id").distinct()
-        edge = mem.join(links, "memory_id").select("start_id", "entity_id").distinct().join(seen, ["start_id", "entity_id"], "left_anti").withColumn("hops", F.lit(h))
-        seen = seen.unionByName(edge)
-    return seen
+def expanded(edges: DataFrame, start: DataFrame, max_hops: int = 64) -> DataFrame:
+    """(start, name, hops): every name that each start reaches over edges in either direction, itself at 0.
+
+    One join a hop over the names met last; stops when a hop meets no new name.
+    """
+    both = materialize(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
+    last = seen = materialize(start.select(F.col("name").alias("start"), "name", F.lit(0).alias("hops")).where("name IS NOT NULL").distinct())
+    for hop in range(1, max_hops + 1):
+        step = last.join(both.withColumnRenamed("source", "name"), "name").select("start", F.col("target").alias("name")).distinct()
+        last = materialize(step.join(seen.select("start", "name"), ["start", "name"], "left_anti").withColumn("hops", F.lit(hop)))
+        if last.limit(1).count() == 0:
+            return seen
+        seen = seen.unionByName(last)
+    raise RuntimeError(f"names are more than {max_hops} hops apart")
+
+
+def merged(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One node for each name whatever its case, with its memories counted, and each edge once."""
+    n = nodes.withColumn("name", F.lower("name")).groupBy("name").agg(F.min("type").alias("type"), F.count_distinct("memory_id").alias("memories"))
+    e = edges.select(F.lower("source").alias("source"), F.lower("target").alias("target"), F.lower("relationship").alias("relationship")).distinct()
+    return n, e
 
 
 def popular(memory_entities: DataFrame, k: int) -> DataFrame:
-    w = Window.orderBy(F.desc("memories"), "entity_id")
+    """(entity_id, memories, rank): the k entities with most memories, ties by the lesser id."""
     top = degrees(memory_entities).orderBy(F.desc("memories"), "entity_id").limit(k)
-    return top.withColumn("rank", F.row_number().over(w))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("memories"), "entity_id")))
+
+
+def node_search(entities: DataFrame, memory_entities: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(keyword, entity_id, memory_id): memories of the entities whose name is exactly the keyword (null: none)."""
+    k = keywords.select("keyword", X.entity_name(F.col("keyword")).alias("key")).where("key <> ''").distinct()
+    named = entities.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct(F.array(X.entity_name(F.col("normalized_name")), X.entity_name(F.col("display_name"))))).alias("key"))
+    links = memory_entities.select("entity_id", "memory_id").distinct()
+    return k.join(named, "key").select("keyword", "entity_id").distinct().join(links, "entity_id", "left").select("keyword", "entity_id", "memory_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
 from tessera.operators import lineage as L
 from tessera.operators.fact_index import current
 
@@ -39,38 +40,71 @@ def archived(memories: DataFrame, ids: DataFrame, at: str) -> tuple[DataFrame, D
     return out.select(*memories.columns), evidence
 
 
-def purged(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+def _losses(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
+    """(memory_id, purged, code): links of memories that stay to memories in ``gone`` (id)."""
+    on = lambda c: gone.select(F.col("id").alias(c))
+    lost = []
+    if "memory_relationships" in tables:
+        r = L.typed(tables["memory_relationships"])
+        for mine, other, way in (("source_memory_id", "target_memory_id", "outgoing"), ("target_memory_id", "source_memory_id", "incoming")):
+            lost.append(r.join(on(other), other).select(F.col(mine).alias("memory_id"), F.col(other).alias("purged"), F.concat("relationship_type", F.lit(f":{way}")).alias("code")))
+    if "memories" in tables:
+        lost.append(tables["memories"].join(on("contradicted_by_id"), "contradicted_by_id").select(F.col("id").alias("memory_id"), F.col("contradicted_by_id").alias("purged"), F.lit("contradicted_by:outgoing").alias("code")))
+    every = gone.sparkSession.createDataFrame([], "memory_id bigint, purged bigint, code string")
+    for x in lost:
+        every = every.unionByName(x)
+    return every.where("memory_id IS NOT NULL").join(on("memory_id"), "memory_id", "left_anti")
+
+
+def purged(tables: dict[str, DataFrame], ids: DataFrame, at: str = "1970-01-01", edges: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables without the memories in ``ids`` (id) and all that hangs on them.
 
     ``tables`` has any of memories, memory_relationships, memory_evidence, knowledge_facts,
     memory_entities, entities and entity_aliases. Pointers of contradicted rows to a purged memory become
-    null; entities that lose their last memory go with their aliases.
+    null. Entities that no memory, alias or edge needs any more go; aliased ones stay. ``edges`` (source_id,
+    target_id, memory_id) are the graph's edges; those of purged memories go first, and the others come
+    back as ``edges``. The version of a memory goes up for each purged one it was linked to, and ``evidence``
+    has a row for each of these, with codes ``purged_memory:id`` and ``type:outgoing`` or ``type:incoming``.
     """
     gone = ids.select("id").distinct()
     on = lambda c: gone.select(F.col("id").alias(c))
     out = dict(tables)
+    codes = _losses(tables, gone).groupBy("memory_id", "purged").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    out["evidence"] = codes.select("memory_id", F.lit("admin").alias("source_type"), F.lit(at).cast("timestamp").alias("observed_at"), F.lit("lineage_removed_by_purge").alias("decision"), F.concat(F.array(F.concat(F.lit("purged_memory:"), "purged")), "codes").alias("reason_codes"))
     if "memories" in out:
-        m = out["memories"].join(gone, "id", "left_anti")
-        lost = on("contradicted_by_id").withColumn("lost", F.lit(True))
-        m = m.join(lost, "contradicted_by_id", "left").withColumn("contradicted_by_id", F.when(F.col("lost").isNull(), F.col("contradicted_by_id"))).drop("lost")
+        n = codes.groupBy(F.col("memory_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+        m = out["memories"].join(gone, "id", "left_anti").join(n, "id", "left")
+        m = m.withColumn("version", (F.col("version") + F.coalesce("__n", F.lit(0))).cast("int"))
+        m = m.join(on("contradicted_by_id").withColumn("__lost", F.lit(True)), "contradicted_by_id", "left").withColumn("contradicted_by_id", F.when(F.col("__lost").isNull(), F.col("contradicted_by_id")))
         out["memories"] = m.select(*tables["memories"].columns)
-    for name in ("memory_evidence", "knowledge_facts", "memory_entities"):
-        if name in out:
-            out[name] = out[name].join(on("memory_id"), "memory_id", "left_anti").select(*tables[name].columns)
     if "memory_relationships" in out:
         r = out["memory_relationships"]
         out["memory_relationships"] = r.join(on("source_memory_id"), "source_memory_id", "left_anti").join(on("target_memory_id"), "target_memory_id", "left_anti").select(*r.columns)
+    for name in ("memory_evidence", "knowledge_facts", "memory_entities"):
+        if name in out:
+            out[name] = out[name].join(on("memory_id"), "memory_id", "left_anti").select(*tables[name].columns)
+    if edges is not None:
+        out["edges"] = graph.unlinked(edges, gone)
     if "entities" in out and "memory_entities" in out:
-        had = tables["memory_entities"].select(F.col("entity_id").alias("id")).distinct()
-        have = out["memory_entities"].select(F.col("entity_id").alias("id"))
-        orphan = had.join(have, "id", "left_anti")
+        none = gone.sparkSession.createDataFrame([], "entity_id bigint, source_id bigint, target_id bigint")
+        orphan = graph.orphans(out["entities"], out["memory_entities"], out.get("edges", none), out.get("entity_aliases", none))
         out["entities"] = out["entities"].join(orphan, "id", "left_anti").select(*tables["entities"].columns)
-        if "entity_aliases" in out:
-            a = out["entity_aliases"]
-            out["entity_aliases"] = a.join(orphan.withColumnRenamed("id", "entity_id"), "entity_id", "left_anti").select(*a.columns)
     return out
 
 
+def deleted(tables: dict[str, DataFrame], ids: DataFrame, at: str, purge: bool = False) -> dict[str, DataFrame]:
+    """Delete memories: archive them unless ``purge`` says to remove them for good. New evidence comes as ``evidence``."""
+    if purge:
+        return purged(tables, ids, at)
+    memories, evidence = archived(tables["memories"], ids, at)
+    return {**tables, "memories": memories, "evidence": evidence}
+
+
+def relinked(memory_entities: DataFrame, edges: DataFrame, ids: DataFrame, links: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memory_entities, edges) after the texts of ``ids`` (id) changed: what they said goes, what they say comes."""
+    return graph.unlinked(memory_entities, ids).unionByName(links.select(*memory_entities.columns)), graph.unlinked(edges, ids).unionByName(new_edges.select(*edges.columns))
+
+
 def legacy_evidence(memories: DataFrame, evidence: DataFrame) -> DataFrame:
     """A first evidence row for each memory that has none."""
     none = memories.join(evidence.select(F.col("memory_id").alias("id")), "id", "left_anti")

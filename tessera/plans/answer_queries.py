@@ -190,7 +190,7 @@ r AS (SELECT conversation_id, id, CAST(sum(length(raw_text)) OVER (PARTITION BY
     + """, rel AS (SELECT query_id, count(*) AS n FROM gp GROUP BY 1), hh AS (SELECT r.query_id, r.rank, (g.memory_id IS NOT NULL)::INTEGER AS hit FROM hr r LEFT JOIN gp g ON g.query_id = r.query_id AND g.memory_id = r.memory_id),
 pp AS (SELECT h.query_id, coalesce(max(n), 0) AS n, count(*) FILTER (WHERE rank <= 3) AS shown, sum(hit) FILTER (WHERE rank <= 3) AS hits, min(CASE WHEN hit = 1 THEN rank END) AS first, sum(hit / log2(rank + 1)) FILTER (WHERE rank <= 3) AS dcg FROM hh h LEFT JOIN rel ON rel.query_id = h.query_id GROUP BY 1),
 i AS (SELECT *, (SELECT sum(1 / log2(k + 1)) FROM range(1, least(3, n) + 1) x(k)) AS ideal FROM pp)
-SELECT count(*) AS queries, round(avg(hits / shown), 6) AS precision, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE hits / n END), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(coalesce(dcg / ideal, 0)), 6) AS ndcg FROM i""",
+SELECT count(*) AS queries, round(avg(hits / shown), 6) AS precision, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE hits / n END), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE coalesce(dcg / ideal, 0) END), 6) AS ndcg FROM i""",
     "pair_quality": f"""WITH {SQ._LINKS}, {SQ._CURRENT}, x AS (SELECT source_memory_id AS a, target_memory_id AS b FROM l WHERE relationship_type = 'superseded_by'), c AS (SELECT * FROM cur WHERE single_valued AND NOT is_placeholder),
 y AS (SELECT x.* FROM x JOIN c s ON s.memory_id = a JOIN c t ON t.memory_id = b WHERE s.tenant = t.tenant AND s.entity_key = t.entity_key AND s.attribute_key = t.attribute_key)
 SELECT (SELECT count(*) FROM y) AS hits, CASE WHEN (SELECT count(*) FROM x) = 0 THEN 1.0 ELSE round((SELECT count(*) FROM y)::DOUBLE / (SELECT count(*) FROM x), 6) END AS precision, 1.0 AS recall""",

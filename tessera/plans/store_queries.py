@@ -121,7 +121,8 @@ def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_orphans(spark: SparkSession, d: str) -> DataFrame:
-    return G.orphans(table(spark, d, "entities"), table(spark, d, "memory_entities"), table(spark, d, "knowledge_facts"), table(spark, d, "entity_aliases"))
+    """Entities without memory, alias and typed edge."""
+    return G.orphans(table(spark, d, "entities"), table(spark, d, "memory_entities"), graph_edges(spark, d), table(spark, d, "entity_aliases"))
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -140,23 +141,49 @@ def legacy_evidence(spark: SparkSession, d: str) -> DataFrame:
     return A.legacy_evidence(table(spark, d, "memories"), table(spark, d, "memory_evidence")).select("memory_id", "observed_at", "decision")
 
 
+PURGED = ("memories", "memory_relationships", "memory_evidence", "knowledge_facts", "memory_entities", "entities", "entity_aliases")
+
+
+def _purged(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables without the archived memories; an edge hangs on the memory whose fact states it."""
+    t = {n: table(spark, d, n) for n in PURGED}
+    return A.purged(t, t["memories"].where("state = 'archived'"), edges=G.stated_edges(FI.current(t["knowledge_facts"]), t["entities"]))
+
+
 def purge_effect(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each table that stay when the archived memories are purged."""
-    names = ("memories", "memory_relationships", "memory_evidence", "knowledge_facts", "memory_entities", "entities", "entity_aliases")
-    t = {n: table(spark, d, n) for n in names}
-    out = A.purged(t, t["memories"].where("state = 'archived'"))
-    counts = [out[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
+    """Rows of each table that stay when the archived memories are purged, and the sum of the versions."""
+    out = _purged(spark, d)
+    counts = [out[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in (*PURGED, "edges")]
+    counts.append(out["memories"].agg(F.sum("version").alias("rows")).select(F.lit("versions").alias("name"), "rows"))
     for c in counts[1:]:
         counts[0] = counts[0].unionByName(c)
     return counts[0]
 
 
+def purge_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What the memories that stay lose when the archived ones are purged."""
+    return _purged(spark, d)["evidence"].select("memory_id", "decision", F.array_join("reason_codes", ",").alias("reason_codes"))
+
+
+def graph_reachable(spark: SparkSession, d: str) -> DataFrame:
+    """Names within reach of every entity whose id is divisible by 20, over typed edges in either direction."""
+    e = table(spark, d, "entities").select("id", "normalized_name")
+    t = graph_edges(spark, d).join(e.select(F.col("id").alias("source_id"), F.col("normalized_name").alias("source")), "source_id").join(e.select(F.col("id").alias("target_id"), F.col("normalized_name").alias("target")), "target_id")
+    return G.expanded(t, e.where("id % 20 = 0").select(F.col("normalized_name").alias("name")))
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Memories of the entities that are named exactly as the facts name their subjects."""
+    k = table(spark, d, "knowledge_facts").select(F.col("entity_key").alias("keyword")).where("keyword IS NOT NULL").distinct()
+    return G.node_search(table(spark, d, "entities"), table(spark, d, "memory_entities"), k)
+
+
 def evidence_by_day(spark: SparkSession, d: str) -> DataFrame:
     c = evidence_counts(table(spark, d, "memory_evidence").where("observed_at IS NOT NULL"))
     return c.select(F.col("window.start").alias("day"), "source_type", "rows")
 
 
-QUERIES = {f.__name__: f for f in (memory_listing, memory_access, memory_top, memory_duplicates, memory_merges, memory_buckets, memory_violations, memory_reflection, lineage_historical, lineage_distinct, lineage_dangling, lineage_pairs, lineage_contradictions, lineage_degrees, evidence_view, index_current, index_candidates, index_live_counts, index_status, index_counts, graph_resolved, graph_mentions, graph_links, graph_degrees, graph_orphans, graph_edges, graph_closure, conflict_report, legacy_evidence, purge_effect, evidence_by_day)}
+QUERIES = {f.__name__: f for f in (memory_listing, memory_access, memory_top, memory_duplicates, memory_merges, memory_buckets, memory_violations, memory_reflection, lineage_historical, lineage_distinct, lineage_dangling, lineage_pairs, lineage_contradictions, lineage_degrees, evidence_view, index_current, index_candidates, index_live_counts, index_status, index_counts, graph_resolved, graph_mentions, graph_links, graph_degrees, graph_orphans, graph_edges, graph_closure, conflict_report, legacy_evidence, purge_effect, purge_evidence, graph_reachable, graph_nodes, evidence_by_day)}
 
 _T = r"regexp_replace(lower(regexp_replace(relationship_type, '^\s+|\s+$', '', 'g')), '[-_\s]+', '_', 'g')"
 _HIST = f"hist AS (SELECT DISTINCT source_memory_id AS memory_id FROM memory_relationships WHERE {_T} IN ('superseded_by', 'fulfilled_by') AND source_memory_id IS NOT NULL)"
@@ -169,6 +196,20 @@ _TOP = "SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY importance DES
 _NAMES = "nm AS (SELECT normalized_name AS name, min(id) AS entity_id FROM entities WHERE normalized_name IS NOT NULL GROUP BY 1), al AS (SELECT alias_normalized AS name, min(entity_id) AS entity_id FROM entity_aliases WHERE alias_normalized NOT IN (SELECT name FROM nm) GROUP BY 1), names AS (SELECT * FROM nm UNION ALL SELECT * FROM al)"
 _EDGE = "[.,!?;:\"''()\\[\\]{}]+"
 _DET = "('a', 'an', 'the', 'my', 'our', 'your', 'his', 'her', 'their', 'its', 'this', 'that', 'these', 'those', 'every', 'each', 'some', 'any')"
+_TYPED = "te AS (SELECT DISTINCT s.id AS source_id, t.id AS target_id FROM knowledge_facts f JOIN entities s ON s.normalized_name = f.entity_key JOIN entities t ON t.normalized_name = lower(trim(f.value_key)) WHERE NOT coalesce(is_placeholder, false) AND s.id <> t.id)"
+
+
+def _name_sql(c: str) -> str:
+    words = f"list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')), '\\s+'), lambda x: regexp_replace(x, '^{_EDGE}|{_EDGE}$', '', 'g')), lambda x: x <> '')"
+    first = f"list_filter(range(1, len({words}) + 1), lambda i: ({words})[i] NOT IN {_DET})[1]"
+    return f"CASE WHEN {first} IS NULL THEN '' ELSE regexp_replace(array_to_string(({words})[{first}:], ' '), '''s$', '') END"
+
+
+_PURGED = f"""{_CURRENT}, g AS (SELECT id FROM memories WHERE state = 'archived'), me AS (SELECT * FROM memory_entities WHERE memory_id IS NULL OR memory_id NOT IN (SELECT id FROM g)),
+ed AS (SELECT DISTINCT s.id AS source_id, t.id AS target_id, attribute_key, memory_id FROM cur f JOIN entities s ON s.normalized_name = f.entity_key JOIN entities t ON t.normalized_name = lower(trim(f.value_key)) WHERE NOT coalesce(is_placeholder, false) AND s.id <> t.id AND memory_id NOT IN (SELECT id FROM g)),
+lost AS (SELECT * FROM (SELECT source_memory_id AS memory_id, target_memory_id AS purged, {_T} || ':outgoing' AS code FROM memory_relationships WHERE target_memory_id IN (SELECT id FROM g)
+ UNION ALL SELECT target_memory_id, source_memory_id, {_T} || ':incoming' FROM memory_relationships WHERE source_memory_id IN (SELECT id FROM g)
+ UNION ALL SELECT id, contradicted_by_id, 'contradicted_by:outgoing' FROM memories WHERE contradicted_by_id IN (SELECT id FROM g)) WHERE memory_id IS NOT NULL AND memory_id NOT IN (SELECT id FROM g))"""
 _STATE = "CASE WHEN CASE WHEN coalesce(access_count, 0) + 1 >= 3 THEN 'active' ELSE 'weak' END = 'active' AND coalesce(importance, 0) < 0.5 AND coalesce(access_count, 0) + 1 < 3 THEN 'weak' WHEN coalesce(access_count, 0) + 1 >= 3 THEN 'active' ELSE 'weak' END"
 
 SQL = {
@@ -211,17 +252,26 @@ f AS (SELECT id, 1 AS k, [start] AS st, [start + words] AS en, [entity_id] AS e
 SELECT DISTINCT id, unnest(e) AS entity_id FROM (SELECT id, e, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS r FROM f) WHERE r = 1""",
     "graph_links": "SELECT memory_id, entity_id, CASE min(CASE role WHEN 'subject' THEN 0 WHEN 'value' THEN 1 WHEN 'mention' THEN 2 ELSE 3 END) WHEN 0 THEN 'subject' WHEN 1 THEN 'value' WHEN 2 THEN 'mention' END AS role FROM memory_entities WHERE memory_id IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1, 2",
     "graph_degrees": "SELECT entity_id, count(DISTINCT memory_id) AS memories FROM memory_entities WHERE memory_id IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1",
-    "graph_orphans": "SELECT id FROM entities WHERE id NOT IN (SELECT entity_id FROM memory_entities WHERE entity_id IS NOT NULL) AND normalized_name NOT IN (SELECT entity_key FROM knowledge_facts WHERE entity_key IS NOT NULL) AND id NOT IN (SELECT entity_id FROM entity_aliases WHERE entity_id IS NOT NULL)",
+    "graph_orphans": f"WITH {_TYPED} SELECT id FROM entities WHERE id NOT IN (SELECT entity_id FROM memory_entities WHERE entity_id IS NOT NULL) AND id NOT IN (SELECT entity_id FROM entity_aliases WHERE entity_id IS NOT NULL) AND id NOT IN (SELECT source_id FROM te) AND id NOT IN (SELECT target_id FROM te)",
+    "graph_reachable": f"""WITH RECURSIVE {_TYPED}, b AS (SELECT s.normalized_name AS x, t.normalized_name AS y FROM te JOIN entities s ON s.id = source_id JOIN entities t ON t.id = target_id), bb AS (SELECT x, y FROM b UNION SELECT y, x FROM b),
+r AS (SELECT normalized_name AS start, normalized_name AS name, 0 AS hops FROM entities WHERE id % 20 = 0 AND normalized_name IS NOT NULL UNION SELECT r.start, bb.y, r.hops + 1 FROM r JOIN bb ON bb.x = r.name WHERE r.hops < 64) SELECT start, name, min(hops) AS hops FROM r GROUP BY 1, 2""",
+    "graph_nodes": f"""WITH k AS (SELECT DISTINCT entity_key AS keyword, {_name_sql('entity_key')} AS key FROM knowledge_facts WHERE entity_key IS NOT NULL), e AS (SELECT id AS entity_id, {_name_sql('normalized_name')} AS key FROM entities UNION SELECT id, {_name_sql('display_name')} FROM entities),
+f AS (SELECT DISTINCT keyword, entity_id FROM k JOIN e USING (key) WHERE key <> '') SELECT DISTINCT keyword, f.entity_id, m.memory_id FROM f LEFT JOIN memory_entities m ON m.entity_id = f.entity_id""",
+    "graph_closure": """WITH RECURSIVE l AS (SELECT DISTINCT memory_id, entity_id FROM memory_entities WHERE memory_id IS NOT NULL AND entity_id IS NOT NULL),
+h AS (SELECT memory_id, min(entity_id) AS hub FROM l GROUP BY 1), e AS (SELECT DISTINCT hub AS a, entity_id AS b FROM l JOIN h USING (memory_id)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS s, a AS t FROM u UNION SELECT r.s, u.b FROM r JOIN u ON u.a = r.t) SELECT s AS entity_id, min(t) AS component FROM r GROUP BY 1""",
     "graph_edges": "SELECT DISTINCT s.id AS source_id, t.id AS target_id, attribute_key AS relationship FROM knowledge_facts f JOIN entities s ON s.normalized_name = f.entity_key JOIN entities t ON t.normalized_name = lower(trim(f.value_key)) WHERE NOT coalesce(is_placeholder, false) AND s.id <> t.id",
     "conflict_report": f"WITH {_HIST}, {_CURRENT} SELECT tenant, entity_key, attribute_key, count(DISTINCT value_key) AS values FROM cur WHERE single_valued AND NOT is_placeholder AND NOT is_negated AND temporal_state = 'CURRENT' AND memory_id IN (SELECT id FROM memories WHERE state <> 'archived' AND NOT coalesce(is_contradicted, false)) AND memory_id NOT IN (SELECT memory_id FROM hist) GROUP BY 1, 2, 3 HAVING count(DISTINCT value_key) > 1",
     "legacy_evidence": "SELECT id AS memory_id, created_at AS observed_at, 'LEGACY' AS decision FROM memories WHERE id NOT IN (SELECT memory_id FROM memory_evidence WHERE memory_id IS NOT NULL)",
-    "purge_effect": """WITH g AS (SELECT id FROM memories WHERE state = 'archived'), me AS (SELECT * FROM memory_entities WHERE memory_id IS NULL OR memory_id NOT IN (SELECT id FROM g)),
-o AS (SELECT DISTINCT entity_id AS id FROM memory_entities WHERE entity_id IS NOT NULL AND entity_id NOT IN (SELECT entity_id FROM me WHERE entity_id IS NOT NULL))
+    "purge_effect": f"""WITH {_PURGED}
 SELECT 'memories' AS name, count(*) AS rows FROM memories WHERE id NOT IN (SELECT id FROM g)
 UNION ALL SELECT 'memory_relationships', count(*) FROM memory_relationships WHERE coalesce(source_memory_id NOT IN (SELECT id FROM g), true) AND coalesce(target_memory_id NOT IN (SELECT id FROM g), true)
 UNION ALL SELECT 'memory_evidence', count(*) FROM memory_evidence WHERE coalesce(memory_id NOT IN (SELECT id FROM g), true)
 UNION ALL SELECT 'knowledge_facts', count(*) FROM knowledge_facts WHERE coalesce(memory_id NOT IN (SELECT id FROM g), true)
-UNION ALL SELECT 'memory_entities', count(*) FROM me UNION ALL SELECT 'entities', count(*) FROM entities WHERE id NOT IN (SELECT id FROM o)
-UNION ALL SELECT 'entity_aliases', count(*) FROM entity_aliases WHERE entity_id NOT IN (SELECT id FROM o)""",
+UNION ALL SELECT 'memory_entities', count(*) FROM me UNION ALL SELECT 'edges', count(*) FROM ed
+UNION ALL SELECT 'entities', count(*) FROM entities WHERE id IN (SELECT entity_id FROM me) OR id IN (SELECT entity_id FROM entity_aliases) OR id IN (SELECT source_id FROM ed) OR id IN (SELECT target_id FROM ed)
+UNION ALL SELECT 'entity_aliases', count(*) FROM entity_aliases
+UNION ALL SELECT 'versions', CAST((SELECT sum(version) FROM memories WHERE id NOT IN (SELECT id FROM g)) + (SELECT count(*) FROM (SELECT DISTINCT memory_id, purged FROM lost)) AS BIGINT)""",
+    "purge_evidence": f"WITH {_PURGED} SELECT memory_id, 'lineage_removed_by_purge' AS decision, 'purged_memory:' || purged || ',' || string_agg(code, ',' ORDER BY code) AS reason_codes FROM lost GROUP BY memory_id, purged",
     "evidence_by_day": "SELECT time_bucket(INTERVAL 1 DAY, observed_at) AS day, source_type, count(*) AS rows FROM memory_evidence WHERE observed_at IS NOT NULL GROUP BY 1, 2",
 }

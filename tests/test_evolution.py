@@ -5,28 +5,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.extraction import entities, extract_fact
 from tessera.operators import evolution as E
+from tessera.plans.labelled import FACTS
 
-FACTS = [
-    ("I live in Pune.", "user", "residence", "Pune", "CURRENT"),
-    ("I used to live in Mumbai.", "user", "residence", "Mumbai", "HISTORICAL"),
-    ("I lived in Delhi.", "user", "residence", "Delhi", "HISTORICAL"),
-    ("I moved to Pune.", "user", "residence", "Pune", "CURRENT"),
-    ("I will move to Bangalore.", "user", "residence", "Bangalore", "FUTURE"),
-    ("I am planning to move to Bangalore.", "user", "residence", "Bangalore", "FUTURE"),
-    ("I work at Google.", "user", "employer", "Google", "CURRENT"),
-    ("I now work at BMW.", "user", "employer", "BMW", "CURRENT"),
-    ("I worked at Infosys.", "user", "employer", "Infosys", "HISTORICAL"),
-    ("I work with William.", "user", "work_with", "William", "CURRENT"),
-    ("My friend Rahul works at Google.", "Rahul", "employer", "Google", "CURRENT"),
-    ("Rahul Sharma works at BMW.", "Rahul Sharma", "employer", "BMW", "CURRENT"),
-    ("I like coffee in the morning.", "user", "preference", "coffee", "CURRENT"),
-    ("I prefer espresso.", "user", "preference", "espresso", "CURRENT"),
-    ("I use my MacBook Air for development.", "user", "device", "MacBook Air", "CURRENT"),
-    ("I use Python for work.", "user", "tool", "Python", "CURRENT"),
-    ("I am learning FastAPI.", "user", "learning_topic", "FastAPI", "CURRENT"),
-    ("My favorite drink is coffee.", "user", "favorite_drink", "coffee", "CURRENT"),
-    ("I do not live in Mumbai anymore.", "user", "residence", "Mumbai", "HISTORICAL"),
-    ("Before living in Mumbai, I lived in Pune.", "user", "residence", "Pune", "HISTORICAL"),
+MORE = [
     ("My parents live near Pune.", "parents", "residence", "Pune", "CURRENT"),
     ("My laptop runs Linux.", "laptop", "run", "Linux", "CURRENT"),
     ("My name is Dev Patel.", "user", "name", "Dev Patel", "CURRENT"),
@@ -35,7 +16,7 @@ FACTS = [
 ]
 
 
-@pytest.mark.parametrize("row", FACTS, ids=lambda r: r[0])
+@pytest.mark.parametrize("row", [*FACTS, *MORE], ids=lambda r: r[0])
 def test_fact(row):
     f = extract_fact(row[0])
     assert (f.entity, f.attribute, f.value, f.temporal_state) == row[1:] and not f.is_placeholder

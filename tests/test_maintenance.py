@@ -48,7 +48,7 @@ def test_archive_is_idempotent(spark):
 def test_purge_removes_what_hangs_on_it(spark):
     t = {
         "memories": rows(spark),
-        "memory_relationships": spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 3, None)], "id bigint, source_memory_id bigint, target_memory_id bigint"),
+        "memory_relationships": spark.createDataFrame([(1, 1, 2, "x"), (2, 2, 3, "x"), (3, 3, None, "x")], "id bigint, source_memory_id bigint, target_memory_id bigint, relationship_type string"),
         "memory_entities": spark.createDataFrame([(1, 10, "subject"), (2, 11, "subject"), (2, 10, None)], "memory_id bigint, entity_id bigint, role string"),
         "entities": spark.createDataFrame([(10, "x"), (11, "y"), (12, "z")], "id bigint, normalized_name string"),
         "entity_aliases": spark.createDataFrame([(1, 10), (2, 11)], "id bigint, entity_id bigint"),
@@ -56,9 +56,34 @@ def test_purge_removes_what_hangs_on_it(spark):
     out = A.purged(t, spark.createDataFrame([(1,)], "id bigint"))
     assert {r.id: r.contradicted_by_id for r in out["memories"].collect()} == {2: None, 3: None}
     assert {r.id for r in out["memory_relationships"].collect()} == {2, 3}
-    assert {r.id for r in out["entities"].collect()} == {10, 11, 12} and out["memory_entities"].count() == 2
-    gone = A.purged(t, spark.createDataFrame([(2,)], "id bigint"))
-    assert {r.id for r in gone["entities"].collect()} == {10, 12} and {r.id for r in gone["entity_aliases"].collect()} == {1}
+    # an entity that nothing needs goes, an aliased one or one with an edge stays though no memory is left
+    assert {r.id for r in out["entities"].collect()} == {10, 11} and out["memory_entities"].count() == 2
+    gone = A.purged(t, spark.createDataFrame([(2,)], "id bigint"), edges=spark.createDataFrame([(12, 10, 3), (11, 12, 2)], "source_id bigint, target_id bigint, memory_id bigint"))
+    assert {r.id for r in gone["entities"].collect()} == {10, 11, 12} and {r.id for r in gone["entity_aliases"].collect()} == {1, 2}
+    assert [tuple(r) for r in gone["edges"].collect()] == [(12, 10, 3)]
+    assert A.deleted({"memories": rows(spark)}, spark.createDataFrame([(1,)], "id bigint"), "2024-01-01")["memories"].where("state = 'archived'").count() == 2
+    assert A.deleted({"memories": rows(spark)}, spark.createDataFrame([(1,)], "id bigint"), "2024-01-01", purge=True)["memories"].count() == 2
+
+
+def test_purge_tells_what_was_lost(spark):
+    t = {"memories": rows(spark), "memory_relationships": spark.createDataFrame([(1, 1, 2, "Superseded By"), (2, 3, 1, "merged_into"), (3, 2, 3, "x")], "id bigint, source_memory_id bigint, target_memory_id bigint, relationship_type string")}
+    out = A.purged(t, spark.createDataFrame([(1,)], "id bigint"))
+    assert {r.memory_id: list(r.reason_codes) for r in out["evidence"].collect()} == {2: ["purged_memory:1", "contradicted_by:outgoing", "superseded_by:incoming"], 3: ["purged_memory:1", "merged_into:outgoing"]}
+    assert {r.id: r.version for r in out["memories"].collect()} == {2: 2, 3: 2}
+
+
+def test_graph_walks_and_aliases(spark):
+    from tessera.operators import graph as G
+
+    e = spark.createDataFrame([("user", "rahul"), ("rahul", "google"), ("a", "b"), ("google", "user")], "source string, target string")
+    s = spark.createDataFrame([("user",), ("b",), ("nobody",), (None,)], "name string")
+    assert {(r.start, r.name, r.hops) for r in G.expanded(e, s).collect()} == {("user", "user", 0), ("user", "rahul", 1), ("user", "google", 1), ("b", "b", 0), ("b", "a", 1), ("nobody", "nobody", 0)}
+    assert {(r.start, r.name) for r in G.neighbours(e, s).collect()} == {("user", "rahul"), ("user", "google"), ("b", "a")}
+    a = spark.createDataFrame([(1, "bob")], "entity_id bigint, alias_normalized string")
+    new = spark.createDataFrame([(2, "The Bob!"), (3, "  "), (4, "Rob"), (5, "rob")], "entity_id bigint, alias string")
+    assert {tuple(r) for r in G.with_aliases(a, new).collect()} == {(1, "bob"), (4, "rob")}
+    n, m = G.merged(spark.createDataFrame([("Rahul", "PERSON", 1), ("rahul", "PERSON", 2)], "name string, type string, memory_id bigint"), spark.createDataFrame([("Rahul", "X", "Works_At"), ("rahul", "x", "works_at")], "source string, target string, relationship string"))
+    assert [tuple(r) for r in n.collect()] == [("rahul", "PERSON", 2)] and m.count() == 1
 
 
 def test_validation(spark):

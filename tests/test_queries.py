@@ -3,9 +3,9 @@
 import pytest
 
 from tests.oracle import connect, normal
-from tessera.plans import answer_queries, general_queries, statement_queries, store_queries, text_queries
+from tessera.plans import answer_queries, benchmark, general_queries, statement_queries, store_queries, text_queries
 
-QUERIES = {k: (f, m.SQL.get(k)) for m in (general_queries, text_queries, store_queries, answer_queries, statement_queries) for k, f in m.QUERIES.items()}
+QUERIES = {k: (f, m.SQL.get(k)) for m in (general_queries, text_queries, store_queries, answer_queries, statement_queries, benchmark) for k, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", QUERIES)

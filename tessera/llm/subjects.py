@@ -1,18 +1,21 @@
 """Subject areas of documents by a distributed latent Dirichlet topic model.
 
-Sentences are the model's units. Each has a mixture over one topic for each subject area and
-BACKGROUND topics for what belongs to none; the Dirichlet prior of a sentence leans towards the
-subjects that raters gave its document, where they did, so that topics take up subjects while words no
-rater saw are learnt from the words beside them. Expectation passes run over all documents on the
-executors (numpy on Arrow batches); the maximisation sums one row for each of at most 2^HASH_BITS
-hashed terms (words and pairs of neighbouring words), so model and broadcasts have a fixed size.
-
-The labels are a bounded sample of documents (LABELLED at most, picked by a hash of the id). They seed
-the topics; after the fit each topic is mapped to the subject that raters gave to the documents in
-which the topic's top terms occur (``topic_subjects``), so a topic that drifted is caught.
-
-A document has a subject if one of its sentences does: words that the topic claims stand at two places
-of the sentence or more (word pairs tell an ambiguous word's topic but are no place of their own). One word (or compound) in a sentence about something else is a passing mention.
+Sentences are the model's units: each is a mixture of one topic for each subject area and BACKGROUND topics
+for what belongs to none, with a Dirichlet prior that leans to the background. Raters' labels only seed the
+topics: they give the first topics, and counts of terms that stay in the topics' Dirichlet prior. From there
+on the topics are free: expectation passes run over all documents, labelled or not, on the executors
+(numpy on Arrow batches), and the maximisation sums one row for each of at most 2^HASH_BITS hashed terms
+(words and pairs of neighbouring words), so model and broadcasts have a fixed size. Passes end when the topics move by less than
+SETTLED of their weight.
+
+After the fit each topic, background ones too, is mapped to the subject that raters gave to the documents
+in which the topic's top terms occur, or to none (``topic_subjects``), so a topic that drifted is caught. A sentence's proportion of
+a subject is its expected words from topics of that subject, against those from all subjects and one word
+of doubt; a document treats a subject if one of its sentences has a proportion over the cut, which is
+fitted to the labelled documents. One word (or compound) in a sentence about something else is a passing
+mention and stays under it.
+
+The labels are a bounded sample of documents (LABELLED at most, picked by a hash of the id).
 """
 
 from __future__ import annotations
@@ -29,20 +32,26 @@ from pyspark.sql import functions as F
 from tessera.scale import materialize
 
 HASH_BITS = 18
-BACKGROUND = 10
-PASSES = 6
-INNER = 6
+BACKGROUND = 4
+#: Passes at most, the change of the topics that ends them, rounds of a sentence's mixture in a pass.
+PASSES, SETTLED, INNER = 8, 0.02, 4
 LABELLED = 50_000
-#: Dirichlet priors: of a topic's terms; of a subject in a sentence (not labelled, given, not given by the
-#: raters); of a background topic in a sentence.
-ETA, FREE, GIVEN, DENIED, NEUTRAL = 0.01, 0.2, 1.0, 0.01, 0.3
-#: Part of a word's weight that a subject's topic needs to claim it, in the sentence and in the corpus.
-CLAIM, CLAIM_CORPUS = 0.5, 0.4
-#: Labelled documents with a term that weigh as much as knowing nothing about it.
-KNOWN = 0.1
+#: Dirichlet priors: of a topic's terms; of a subject and of a background topic in a sentence.
+ETA, SUBJECT, NEUTRAL = 0.01, 0.02, 4.0
+#: How much the labels' counts of a term weigh in the prior of the topics' terms.
+SEED = 100.0
+#: Labelled documents with a term that weigh as much as knowing nothing about it, and how far the first
+#: topics of subjects have a term that raters never saw.
+KNOWN, UNSEEN = 0.01, 0.005
+#: How far (0 alike, 1 only there) the top terms of a topic have to be tied to a subject to map it.
+MAPPED = 0.5
+#: Expected words of no subject in a sentence's proportions, and the cuts that are tried.
+DOUBT = 1.0
+CUTS = tuple(round(0.3 + 0.02 * i, 2) for i in range(26))
 
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_TOKEN = re.compile(f"{_WORD.pattern}|{_SENTENCE.pattern}")
 
 
 def sentence_words(text: str) -> list[list[str]]:
@@ -50,31 +59,35 @@ def sentence_words(text: str) -> list[list[str]]:
     return [w for s in _SENTENCE.split(text.lower()) if (w := _WORD.findall(s))]
 
 
-def _bucket(term: str) -> int:
-    return xxhash.xxh32_intdigest(term) & ((1 << HASH_BITS) - 1)
-
-
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Word and word-pair buckets of each document, and the number of words of each sentence.
 
     Pairs start at their first word; the last word of a sentence has -1.
     """
     memo: dict[str, int] = {}
+    mask = (1 << HASH_BITS) - 1
 
-    def of(term: str) -> int:
-        if term not in memo:
+    def of(token: str) -> int:
+        if token not in memo:
             if len(memo) > 500_000:
                 memo.clear()
-            memo[term] = _bucket(term)
-        return memo[term]
+            memo[token] = xxhash.xxh32_intdigest(token) if _WORD.match(token) else -1
+        return memo[token]
 
     for b in batches:
+        docs = [[of(t) for t in _TOKEN.findall(text.lower())] for text in b["text"]]
         uni, bi, ends = [], [], []
-        for text in b["text"]:
-            sents = sentence_words(text)
-            uni.append([of(w) for s in sents for w in s])
-            bi.append([of(f"{x} {y}") if y else -1 for s in sents for x, y in zip(s, [*s[1:], ""], strict=True)])
-            ends.append([len(s) for s in sents])
+        for ids in docs:
+            h = np.array([*ids, -1], np.int64)
+            last = np.append(h[1:] < 0, True)[h >= 0]
+            bounds = np.cumsum(h >= 0)[h < 0]
+            h = h[h >= 0]
+            pair = (h * 0x9E3779B1 + np.append(h[1:], 0) * 0x85EBCA77) & 0xFFFFFFFF
+            pair = ((pair ^ (pair >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 12 & mask
+            uni.append((h & mask).astype(np.int32))
+            bi.append(np.where(last, -1, pair).astype(np.int32))
+            n = np.diff(bounds, prepend=0)
+            ends.append(n[n > 0].astype(np.int32))
         yield pd.DataFrame({"doc_id": b["doc_id"], "votes": b["votes"], "uni": uni, "bi": bi, "ends": ends})
 
 
@@ -97,22 +110,19 @@ class _Batch:
         self.term, self.sent = both[there], np.repeat(sent, 2)[there]
         self.is_word = np.tile([True, False], len(uni))[there]
         self.starts = np.searchsorted(self.sent, np.arange(len(words)))
-        prior = np.full((len(b), k), FREE, np.float32)
-        for i, v in enumerate(b["votes"]):
-            if v is not None:
-                prior[i, : len(v)] = np.where(np.asarray(v) > 0, GIVEN * np.asarray(v), DENIED)
-        prior[:, k - BACKGROUND :] = NEUTRAL
-        self.prior = prior[self.sent_doc]
+        self.prior = np.full(k, SUBJECT, np.float32)
+        self.prior[k - BACKGROUND :] = NEUTRAL
 
     def responsibilities(self, phi: np.ndarray) -> np.ndarray:
         """[tokens, topics]: variational expectation with sentence mixtures."""
         p, ones = phi[self.term], np.ones(phi.shape[1], np.float32)
-        theta = self.prior
-        for _ in range(INNER):
+        mixed = self.prior * p
+        r = mixed * (1 / (mixed @ ones))[:, None]
+        for _ in range(INNER - 1):
+            theta = self.prior + np.add.reduceat(r, self.starts, axis=0)
             r = theta[self.sent]
             r *= p
             r *= (1 / (r @ ones))[:, None]  # a product sums short rows faster than sum(1)
-            theta = self.prior + np.add.reduceat(r, self.starts, axis=0)
         return r
 
 
@@ -168,29 +178,33 @@ def _summed(counts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _allowance(counts: np.ndarray, subjects: int, k: int) -> np.ndarray:
-    """[terms, subjects] in 0..1: how far raters leave a term to a subject's topic.
+def _lift(counts: np.ndarray, subjects: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """([terms, subjects] in 0..1, labelled): how far raters' documents tie a term to a subject, and how much was seen of it.
 
-    A term that raters saw in documents of all subjects alike (stock phrases) is kept out of all; a term
-    they never saw is free.
+    A term in documents of all subjects alike (stock phrases) is tied to none.
     """
     labelled = counts[:, k - 2]
     share = counts[:, :subjects].sum(0) / max(labelled.sum(), 1e-9)
     p = (counts[:, :subjects] + share * 0.5) / (labelled + 0.5)[:, None]
     lift = np.log(np.maximum(p, 1e-9) / np.maximum(share, 1e-9)) / np.log(1 / np.clip(share, 1e-3, 0.5))
-    lift = np.clip(lift, 0, 1) ** 2
-    return (KNOWN + labelled[:, None] * lift) / (KNOWN + labelled[:, None])
+    return np.clip(lift, 0, 1) ** 2, labelled
 
 
-def _seeded(counts: np.ndarray, allowed: np.ndarray, subjects: int, k: int) -> np.ndarray:
-    """First topics: terms by what raters allow, background by the rest; unseen terms are background at first."""
-    labelled, all_words = counts[:, k - 2], counts[:, k - 1]
-    phi = np.empty((len(counts), k), np.float64)
-    phi[:, :subjects] = np.where((labelled > 0)[:, None], allowed, 0.02) * all_words[:, None]
-    rng = np.random.default_rng(11)
-    rest = np.maximum(1 - np.where(labelled > 0, allowed.max(1), 0.1), 0.02) * all_words
-    phi[:, subjects:] = rest[:, None] * rng.uniform(0.8, 1.2, (len(counts), k - subjects))
-    return _normal(phi)
+def _seeded(counts: np.ndarray, subjects: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first topics, prior counts): terms by what raters tie to a subject, background by the rest.
+
+    Terms that raters never saw are background at first and have no prior counts.
+    """
+    lift, labelled = _lift(counts, subjects, k)
+    seen, all_words = (labelled > 0)[:, None], counts[:, k - 1]
+    allowed = np.where(seen, (KNOWN + labelled[:, None] * lift) / (KNOWN + labelled[:, None]), UNSEEN)
+    rest = np.maximum(1 - allowed.max(1, initial=0), UNSEEN)
+    first, prior = np.zeros((len(counts), k)), np.zeros((len(counts), k), np.float32)
+    first[:, :subjects] = allowed * all_words[:, None]
+    first[:, subjects:] = (rest * all_words)[:, None] * np.random.default_rng(11).uniform(0.8, 1.2, (len(counts), k - subjects))
+    prior[:, :subjects] = SEED * lift * labelled[:, None]
+    prior[:, subjects:] = (SEED * (1 - lift.max(1, initial=0)) * labelled / (k - subjects))[:, None]
+    return _normal(first), prior
 
 
 def _normal(counts: np.ndarray) -> np.ndarray:
@@ -199,10 +213,10 @@ def _normal(counts: np.ndarray) -> np.ndarray:
 
 
 class Topics:
-    """A fitted model: term probabilities and claims [2^HASH_BITS, topics], the subject of each topic or None."""
+    """A fitted model: term probabilities [2^HASH_BITS, topics], the subject of each topic or None, the cut, passes run."""
 
-    def __init__(self, phi: np.ndarray, claims: np.ndarray, subjects: list[str], mapping: list[str | None]):
-        self.phi, self.claims, self.subjects, self.mapping = phi, claims, subjects, mapping
+    def __init__(self, phi: np.ndarray, mapping: list[str | None], cut: float = 0.5, passes: int = 0):
+        self.phi, self.mapping, self.cut, self.passes = phi, mapping, cut, passes
 
 
 def label_votes(labels: DataFrame, subjects: list[str]) -> DataFrame:
@@ -227,76 +241,111 @@ def encode(documents: DataFrame, votes: DataFrame | None, id_col: str = "doc_id"
     return materialize(d.join(votes, "doc_id", "left").mapInPandas(_encoded, ENCODED))
 
 
-def fit(encoded: DataFrame, subjects: list[str], passes: int = PASSES) -> Topics:
-    """Fit the topics on all of ``encoded`` and map them to subjects."""
+def fit(encoded: DataFrame, subjects: list[str], passes: int = PASSES, judged: DataFrame | None = None) -> Topics:
+    """Fit the topics on all of ``encoded``, map them to subjects and fit the cut to the labelled documents.
+
+    ``judged`` has the texts that the raters read, if ``encoded`` has others as well.
+    """
     n, k = len(subjects), len(subjects) + BACKGROUND
     sc = encoded.sparkSession.sparkContext
     ddl = "term int, " + ", ".join(f"t{j} float" for j in range(k))
     counts = _summed(encoded.mapInPandas(lambda it: _label_counts(it, k, n), ddl), k)
-    allowed = _allowance(counts, n, k)
-    phi = _seeded(counts, allowed, n, k)
-    for _ in range(passes):
+    phi, prior = _seeded(counts, n, k)
+    before, ran = np.zeros_like(prior), 0
+    for ran in range(1, passes + 1):
         shared = sc.broadcast(phi)
         held = _summed(encoded.mapInPandas(_expect(shared, k), ddl), k)
-        held[:, :n] *= allowed
-        phi = _normal(held)
+        phi = _normal(held + prior)
         shared.unpersist()
-    claims = held / np.maximum(held.sum(1, keepdims=True), 1e-9) >= CLAIM_CORPUS
-    return Topics(phi, claims, subjects, topic_subjects(phi, counts, subjects))
+        moved = np.abs(held[:, :n] - before[:, :n]).sum() / max(held[:, :n].sum(), 1e-9)
+        before = held
+        if moved < SETTLED:
+            break
+    topics = Topics(phi, topic_subjects(phi, counts, subjects), passes=ran)
+    topics.cut = _fitted_cut((encoded if judged is None else judged).where("votes IS NOT NULL"), topics, subjects)
+    return topics
 
 
 def topic_subjects(phi: np.ndarray, label_counts: np.ndarray, subjects: list[str], terms: int = 50) -> list[str | None]:
     """The subject of each topic by its top terms: what raters gave to the documents that have them.
 
-    A topic's top terms are those it holds most of; a topic none of whose terms raters saw keeps the
-    subject it was seeded with, and background topics have none.
+    A topic's top terms are those it holds most of. A topic is of no subject if its terms occur in
+    documents of all subjects alike; a topic none of whose terms raters saw stays what it was seeded as.
     """
     n, k = len(subjects), phi.shape[1]
     share = label_counts[:, :n].sum(0) / max(label_counts[:, k - 2].sum(), 1e-9)
+    held = phi / phi.sum(1, keepdims=True)
     out: list[str | None] = []
     for j in range(k):
-        held = phi[:, j] / phi.sum(1)
-        top = np.argsort(-np.where(held > CLAIM, phi[:, j], 0))[:terms]
-        seen = label_counts[top, :n].sum(0) / np.maximum(share, 1e-9)
-        out.append(None if j >= n else subjects[int(seen.argmax())] if seen.sum() > 0 else subjects[j])
+        own = held[:, j] > 0.5
+        top = np.argsort(-np.where(own, phi[:, j], 0))[: min(terms, int(own.sum()))]
+        seen = label_counts[top, k - 2].sum()
+        if not seen:
+            out.append(subjects[j] if j < n else None)
+            continue
+        p = label_counts[top, :n].sum(0) / seen
+        lift = np.log(np.maximum(p, 1e-9) / np.maximum(share, 1e-9)) / np.log(1 / np.clip(share, 1e-3, 0.5))
+        out.append(subjects[int(lift.argmax())] if lift.max() > MAPPED else None)
     return out
 
 
-def _assigned(model, mapping: list[str | None]):
-    """mapInPandas function: (doc_id, subject, sentences, share of the words)."""
+def _proportions(model, mapping: list[str | None], subjects: list[str]):
+    """mapInPandas function: (doc_id, subject, proportion, words, of) of each sentence and subject that may count.
+
+    ``words`` are the sentence's, ``of`` the document's.
+    """
     k = len(mapping)
+    to = np.zeros((k, len(subjects)), np.float32)
+    for j, subject in enumerate(mapping):
+        if subject is not None:
+            to[j, subjects.index(subject)] = 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, x in _batches(b.assign(votes=None), k):
-                phi, claims = model.value
-                r = x.responsibilities(phi) * claims[x.term]
-                claim, sent = r[x.is_word], x.sent[x.is_word]
-                ids, words = part["doc_id"].to_numpy(), np.bincount(x.sent_doc[sent], minlength=len(part))
-                for j, subject in enumerate(mapping):
-                    if subject is None:
-                        continue
-                    on = claim[:, j] >= CLAIM
-                    starts = on & ~np.concatenate([[False], on[:-1] & (sent[1:] == sent[:-1])])
-                    places = np.bincount(sent[starts], minlength=len(x.sent_doc))
-                    treats = places >= 2
-                    of = np.bincount(x.sent_doc[treats], minlength=len(part))
-                    size = np.bincount(x.sent_doc[sent[treats[sent]]], minlength=len(part))
-                    at = np.flatnonzero(of)
-                    yield pd.DataFrame({"doc_id": ids[at], "subject": subject, "sentences": of[at], "share": size[at] / words[at]})
+            for part, x in _batches(b, k):
+                r = x.responsibilities(model.value)[x.is_word] @ to
+                sent = x.sent[x.is_word]
+                words = np.bincount(sent, minlength=len(x.sent_doc))
+                expected = np.add.reduceat(r, np.searchsorted(sent, np.arange(len(x.sent_doc))), axis=0)
+                share = expected / (expected.sum(1, keepdims=True) + DOUBT)
+                at, j = np.nonzero(share >= CUTS[0])
+                of = np.bincount(x.sent_doc, words, len(part)).astype(np.int64)
+                doc = x.sent_doc[at]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[doc], "subject": np.array(subjects, object)[j], "proportion": share[at, j].astype(np.float64), "words": words[at], "of": of[doc]})
 
     return run
 
 
-def assign(encoded: DataFrame, topics: Topics) -> DataFrame:
+PROPORTIONS = "doc_id bigint, subject string, proportion double, words bigint, of bigint"
+
+
+def _fitted_cut(labelled: DataFrame, topics: Topics, subjects: list[str]) -> float:
+    """The cut at which the labelled documents agree best (F1) with the majority of their raters.
+
+    Only one row for each cut reaches the driver. Without labels it is the middle one.
+    """
+    model = labelled.sparkSession.sparkContext.broadcast(topics.phi)
+    got = labelled.mapInPandas(_proportions(model, topics.mapping, subjects), PROPORTIONS).groupBy("doc_id", "subject").agg(F.max("proportion").alias("p"))
+    want = labelled.groupBy("doc_id").agg(F.first("votes").alias("v")).select("doc_id", F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in subjects]).alias("subject"), F.col("v").alias("vote"))).alias("x"))
+    want = want.select("doc_id", F.col("x.subject").alias("subject"), (F.col("x.vote") > 0.5).alias("y"))
+    j = want.join(got, ["doc_id", "subject"], "left").select("y", F.coalesce("p", F.lit(0.0)).alias("p"))
+    counts = j.agg(F.count_if("y").alias("n"), *[x for i, c in enumerate(CUTS) for x in (F.count_if(F.col("p") >= c).alias(f"m{i}"), F.count_if((F.col("p") >= c) & F.col("y")).alias(f"h{i}"))]).first()
+    if not counts["n"]:
+        return CUTS[len(CUTS) // 2]
+    f1 = np.array([2 * counts[f"h{i}"] / max(counts[f"m{i}"] + counts["n"], 1) for i in range(len(CUTS))])
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    return CUTS[int(best[len(best) // 2])]
+
+
+def assign(encoded: DataFrame, topics: Topics, subjects: list[str]) -> DataFrame:
     """(doc_id, subject, sentences, share): a row for each subject that a document treats.
 
     sentences counts those that treat the subject, share is their part of the document's words.
     Documents without any subject have no row; labels are not used here.
     """
-    model = encoded.sparkSession.sparkContext.broadcast((topics.phi, topics.claims))
-    rows = encoded.mapInPandas(_assigned(model, topics.mapping), "doc_id bigint, subject string, sentences bigint, share double")
-    return rows.groupBy("doc_id", "subject").agg(F.sum("sentences").alias("sentences"), F.sum("share").alias("share"))
+    model = encoded.sparkSession.sparkContext.broadcast(topics.phi)
+    rows = encoded.mapInPandas(_proportions(model, topics.mapping, subjects), PROPORTIONS).where(F.col("proportion") >= topics.cut)
+    return rows.groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.col("words") / F.col("of")).alias("share"))
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -306,7 +355,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame)
     enc = encode(documents, votes)
     # the other side of a segment pair says mostly the same in another language: more to learn words from
     other = encode(documents, votes, text_col="target_text") if "target_text" in documents.columns else None
-    return assign(enc, fit(enc if other is None else enc.unionByName(other), subjects))
+    return assign(enc, fit(enc if other is None else enc.unionByName(other), subjects, judged=enc), subjects)
 
 
 def composition(assigned: DataFrame, documents: DataFrame, areas: DataFrame) -> DataFrame:

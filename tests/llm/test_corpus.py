@@ -174,3 +174,27 @@ def test_sentence_mixtures_settle():
     finally:
         S.INNER = inner
     assert np.abs(used - settled).mean() < 0.015
+
+
+def test_topics_are_mapped_by_their_terms():
+    """A topic that holds another subject's terms is mapped to that one, a topic of terms of all subjects to none."""
+    n, k = 3, 3 + S.BACKGROUND
+    counts = np.zeros((60, n + S.BACKGROUND), np.float32)
+    for s in range(n):
+        counts[10 * s : 10 * s + 10, s] = 9
+    counts[30:60, :n] = 3
+    counts[:, k - 2], counts[:, k - 1] = 10, 20
+    phi = np.full((60, k), 1e-4)
+    for topic, terms in ((0, slice(10, 20)), (1, slice(30, 45)), (2, slice(20, 30)), (3, slice(0, 10)), (4, slice(45, 60))):
+        phi[terms, topic] = 0.1
+    assert S.topic_subjects(phi, counts, ["a", "b", "c"]) == ["b", None, "c", "a", None, *[None] * (k - 5)]
+
+
+def test_labels_do_not_enter_the_passes():
+    """Sentence mixtures are the same whatever raters gave to the document."""
+    import pandas as pd
+
+    k, phi = 3 + S.BACKGROUND, np.random.default_rng(2).gamma(0.2, 1, (1 << S.HASH_BITS, 3 + S.BACKGROUND)).astype(np.float32)
+    rows = [pd.DataFrame({"doc_id": [1], "votes": [v], "text": ["One two three. Four five."]}) for v in (None, [1.0, 0.0, 0.0])]
+    a, b = (S._Batch(next(S._encoded(iter([r]))), k).responsibilities(phi) for r in rows)
+    assert (a == b).all()

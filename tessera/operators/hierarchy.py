@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.scale import materialize
+from tessera.scale import discard, materialize
 
 LINEAGE_TYPES = ("superseded_by", "merged_into", "fulfilled_by")
 #: Nodes of a component up to which one task walks it.
@@ -40,6 +40,12 @@ def lineage_edges(links: DataFrame, types: tuple[str, ...] = LINEAGE_TYPES) -> D
     return lineage_links(links, types).groupBy("relationship_type", "child").agg(F.min("parent").alias("parent"))
 
 
+def other_parents(links: DataFrame, types: tuple[str, ...] = LINEAGE_TYPES) -> DataFrame:
+    """(relationship_type, child, parent): distinct links by which no path goes, as the child has a lesser parent."""
+    kept = lineage_edges(links, types).withColumnRenamed("parent", "least")
+    return lineage_links(links, types).distinct().join(kept, ["relationship_type", "child"]).where("parent <> least").drop("least")
+
+
 def connected_components(edges: DataFrame, a: str, b: str, keys: list[str] | None = None, max_rounds: int = 60) -> DataFrame:
     """(keys, node, component): component is the least node id reachable over undirected edges.
 
@@ -56,21 +62,23 @@ def connected_components(edges: DataFrame, a: str, b: str, keys: list[str] | Non
             break
         # hook: the roots of two neighbours; the larger root points to the least root beside it
         least = e.select(*keys, F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).groupBy(*keys, "node").agg(F.min("to").alias("to"))
-        least = materialize(least)
         # jump: follow hooks of hooks until none moves; chains are short as targets are always smaller
-        hooks = least
+        hooks = last = materialize(least)
         while True:
             up = hooks.select(*keys, F.col("node").alias("to"), F.col("to").alias("up"))
             nxt = materialize(hooks.join(up, [*keys, "to"], "left").select(*keys, "node", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")))
             moved = nxt.where("moved").limit(1).count()
-            hooks = nxt.drop("moved")
+            discard(last)
+            hooks, last = nxt.drop("moved"), nxt
             if not moved:
                 break
         h = hooks.withColumnRenamed("node", "component")
+        old = (label, e, last)
         label = materialize(label.join(h, [*keys, "component"], "left").select(*keys, "node", F.coalesce("to", "component").alias("component")))
         ha, hb = hooks.select(*keys, F.col("node").alias("a"), F.col("to").alias("ta")), hooks.select(*keys, F.col("node").alias("b"), F.col("to").alias("tb"))
         e = e.join(ha, [*keys, "a"], "left").withColumn("a", F.coalesce("ta", "a")).drop("ta").join(hb, [*keys, "b"], "left").withColumn("b", F.coalesce("tb", "b")).drop("tb")
         e = materialize(e.where("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(*old)  # what a round was made from is not read again
     else:  # each round at least halves the labels that have neighbours
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return label
@@ -125,7 +133,8 @@ def _doubled(edges: DataFrame) -> DataFrame:
         moved = open_.join(q, ["relationship_type", "at"], "left")
         circling = F.array_contains("up", F.col("memory_id")) | F.exists("up2", lambda x: x == F.col("memory_id")) | (F.size(F.array_distinct(F.concat("up", "up2"))) < F.size("up") + F.size("up2")) | (F.col("steps2") < 0)
         moved = moved.select("relationship_type", "memory_id", F.when(circling, F.lit(None).cast("bigint")).otherwise(F.col("at2")).alias("at"), F.when(circling, F.array().cast("array<bigint>")).otherwise(F.concat("up", "up2")).alias("up"), F.when(circling, F.lit(-1).cast("bigint")).otherwise(F.col("steps") + F.col("steps2")).alias("steps"), F.when(circling & F.array_contains(F.concat("up", "up2"), F.col("memory_id")), F.array_sort(F.slice(F.concat("up", "up2"), 1, F.array_position(F.concat("up", "up2"), F.col("memory_id")).cast("int")))).alias("cycle"))
-        p = materialize(done.unionByName(moved))
+        old, p = p, materialize(done.unionByName(moved))
+        discard(old)
         if p.where("at IS NOT NULL").limit(1).count() == 0:
             break
         step *= 2

@@ -1,8 +1,10 @@
 """History of changing attributes as insert-only satellites.
 
-A satellite is an append-only log of one attribute: a row is appended only where the
-hash-diff of the valid value changes, and a version's end is never written but read as
-the ``lead`` of the log. A negation of the valid value appends a row without hash-diff.
+A satellite is an append-only log of attributes that change at a like rate: the fast satellite has the
+attributes that change at least as often as the median one, the slow satellite the others, each a table of its
+own. A row is appended only where the hash-diff of the valid value changes, and a version's end is never
+written but read as the ``lead`` of the log, in a view over both satellites. A negation of the valid value
+appends a row without hash-diff. A later batch is folded in from each key's last rows (``appended``).
 """
 
 from __future__ import annotations
@@ -14,8 +16,7 @@ from tessera.scale import carry_last, carry_next, materialize, ordered_chunks
 
 KEYS = ["tenant", "entity_key", "attribute_key"]
 ORDER = ["updated_at", "memory_id"]
-#: Changes for each stated row from which an attribute belongs to the fast satellite.
-FAST = 0.5
+SATELLITES = ("fast", "slow")
 
 
 def value_form(value: Column) -> Column:
@@ -54,14 +55,14 @@ def stated_rows(facts: DataFrame) -> DataFrame:
     )
 
 
-def satellite_log(facts: DataFrame) -> DataFrame:
-    """Appended rows only: keys, memory_id, updated_at, value_text, diff (null where a value ended).
+def _changes(stated: DataFrame) -> DataFrame:
+    """The rows of ``stated`` that change an attribute, chunked by key and order; extra columns stay.
 
     The test against the valid value needs two carries over the key's order (the last stated value;
     the last row that changed something), both taken over ordered chunks, so that a key with a third
     of all rows is worked on by many tasks.
     """
-    d = ordered_chunks(stated_rows(facts), KEYS, ORDER)
+    d = ordered_chunks(stated, KEYS, ORDER)
     d = carry_last(d, KEYS, ORDER, "stated", F.when(~F.col("negated"), F.col("diff")))
     touches = ~F.col("negated") | (F.col("diff") == F.col("stated"))
     d = d.where(F.coalesce(touches, F.lit(False))).drop("stated")
@@ -71,32 +72,70 @@ def satellite_log(facts: DataFrame) -> DataFrame:
     return d.where(F.coalesce(opens | ends, F.lit(False))).withColumn("diff", F.when(~F.col("negated"), F.col("diff"))).drop("prev")
 
 
+def satellite_log(facts: DataFrame) -> DataFrame:
+    """Appended rows only: keys, memory_id, updated_at, value_text, negated, diff (null where a value ended)."""
+    return _changes(stated_rows(facts))
+
+
+def appended(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows that a later batch of the feed appends to ``log``; nothing in the log is changed.
+
+    The batch's rows must come after the log's in each key's order, and a memory_id that was in the feed
+    before must not come again. Of the log only each key's last opening and ending are read, by a partial
+    aggregate, so its length does not matter. The log with these rows equals the log of the whole feed.
+    """
+    new = stated_rows(batch).withColumn("old", F.lit(False))
+    row = F.struct(*ORDER, "value_text", "diff")
+    last = log.join(new.select(*[F.col(k).alias(f"__{k}") for k in KEYS]).distinct(), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEYS], "left_semi")
+    last = last.groupBy(*KEYS).agg(F.max(F.when(~F.col("negated"), row)).alias("o"), F.max(F.when(F.col("negated"), row)).alias("e"))
+    opened = last.where("o IS NOT NULL").select("o.memory_id", "o.updated_at", *KEYS, "o.value_text", F.lit(False).alias("negated"), "o.diff", F.lit(True).alias("old"))
+    # an ending names the value that was opened last
+    ended = last.where("e.updated_at > o.updated_at OR (e.updated_at = o.updated_at AND e.memory_id > o.memory_id)").select("e.memory_id", "e.updated_at", *KEYS, "e.value_text", F.lit(True).alias("negated"), "o.diff", F.lit(True).alias("old"))
+    return _changes(new.unionByName(opened).unionByName(ended)).where("NOT old").drop("old")
+
+
+def change_rates(log: DataFrame) -> DataFrame:
+    """(attribute_key, rate, satellite): changes of an attribute for each of its entities, and where it belongs.
+
+    At most one row for each attribute name: a dictionary, joined by Spark's own choice.
+    """
+    per = log.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).groupBy("attribute_key").agg((F.sum("n") / F.count(F.lit(1)) - 1).alias("rate"))
+    middle = per.agg(F.percentile("rate", 0.5).alias("middle"))  # one row
+    return per.join(F.broadcast(middle)).select("attribute_key", "rate", F.when(F.col("rate") >= F.col("middle"), "fast").otherwise("slow").alias("satellite"))
+
+
+def satellites(facts: DataFrame) -> dict[str, DataFrame]:
+    """The log of each satellite, a table of its own: attributes are split by how often they change."""
+    log = materialize(satellite_log(facts))
+    rate = materialize(change_rates(log)).select(F.col("attribute_key").alias("__a"), "satellite")
+    split = log.join(rate, F.col("attribute_key").eqNullSafe(F.col("__a"))).drop("__a")
+    return {name: materialize(split.where(F.col("satellite") == name).drop("satellite")) for name in SATELLITES}
+
+
+def periods(log: DataFrame) -> DataFrame:
+    """The view over one satellite: each opening with the row that follows it. ``log`` has its chunks."""
+    d = carry_next(log, KEYS, ORDER, "next", F.struct("memory_id", "updated_at", "negated"))
+    return d.where("diff IS NOT NULL").select(
+        *KEYS,
+        "value_text",
+        F.col("memory_id").alias("opened_by"),
+        F.col("updated_at").alias("valid_from"),
+        F.coalesce(F.col("next.memory_id"), F.lit(-1).cast("bigint")).alias("closed_by"),
+        F.col("next.updated_at").alias("valid_to"),
+        F.when(F.col("next").isNotNull(), F.when(F.col("next.negated"), "negated").otherwise("restated")).alias("closed_how"),
+    )
+
+
 def versions(facts: DataFrame) -> DataFrame:
     """Every version of every attribute with the period for which it held.
 
     Columns: tenant, entity_key, attribute_key, value_text, opened_by, valid_from, closed_by (-1 while
     valid), valid_to (null while valid), closed_how (``restated``, ``negated`` or null), satellite
-    (``fast`` or ``slow``, by the attribute's changes for each of its entities). An empty feed gives no row.
+    (``fast`` or ``slow``). An empty feed gives no row.
     """
-    log = materialize(satellite_log(facts))
-    d = carry_next(log, KEYS, ORDER, "next", F.struct("memory_id", "updated_at", "negated"))
-    # at most one row for each attribute name: a dictionary, joined by Spark's own choice
-    rate = log.groupBy("attribute_key").agg((F.sum(F.lit(1.0)) / F.approx_count_distinct(F.struct("tenant", "entity_key")) - 1).alias("rate"))
-    rate = rate.select(F.col("attribute_key").alias("__a"), F.when(F.col("rate") >= FAST, "fast").otherwise("slow").alias("satellite"))
-    return (
-        d.where("diff IS NOT NULL")
-        .join(rate, F.col("attribute_key").eqNullSafe(F.col("__a")), "left")
-        .select(
-            *KEYS,
-            "value_text",
-            F.col("memory_id").alias("opened_by"),
-            F.col("updated_at").alias("valid_from"),
-            F.coalesce(F.col("next.memory_id"), F.lit(-1).cast("bigint")).alias("closed_by"),
-            F.col("next.updated_at").alias("valid_to"),
-            F.when(F.col("next").isNotNull(), F.when(F.col("next.negated"), "negated").otherwise("restated")).alias("closed_how"),
-            "satellite",
-        )
-    )
+    s = satellites(facts)
+    fast, slow = (periods(s[n]).withColumn("satellite", F.lit(n)) for n in SATELLITES)
+    return fast.unionByName(slow)
 
 
 def as_of(history: DataFrame, at: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators import hierarchy, history
 from tessera.sources.tables import table
@@ -16,15 +17,26 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchies(table(spark, d, "memory_relationships")))
 
 
+def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Each memory on a circle of links, with the ids of its circle."""
+    h = hierarchy.hierarchies(table(spark, d, "memory_relationships")).where("cycle IS NOT NULL")
+    return h.select("relationship_type", "memory_id", F.array_join("cycle", "/").alias("cycle"))
+
+
+def p4_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Links to parents beside the one by which a memory's path goes."""
+    return hierarchy.other_parents(table(spark, d, "memory_relationships"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return history.versions(table(spark, d, "knowledge_facts")).select("tenant", "entity_key", "attribute_key", "opened_by", "closed_by")
 
 
 def p5_history(spark: SparkSession, d: str) -> DataFrame:
-    return history.versions(table(spark, d, "knowledge_facts")).drop("satellite")
+    return history.versions(table(spark, d, "knowledge_facts"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_history": p5_history}
+QUERIES = {"p4_found": p4_found, "p4_descendants": p4_descendants, "p4_cycles": p4_cycles, "p4_other_parents": p4_other_parents, "p5_found": p5_found, "p5_history": p5_history}
 
 _TREE = r"""
 WITH RECURSIVE e AS (
@@ -70,6 +82,13 @@ SQL = {
     "p4_found": _TREE
     + """SELECT n.relationship_type, n.memory_id, coalesce(t.root_id, -1) AS root_id, coalesce(t.depth, -1) AS depth, coalesce(t.path, '') AS path
 FROM n LEFT JOIN t ON n.relationship_type = t.relationship_type AND n.memory_id = t.memory_id""",
+    "p4_cycles": _TREE
+    + """, w AS (SELECT relationship_type, child AS memory_id, parent AS up, [child] AS seen FROM e
+  UNION ALL SELECT w.relationship_type, w.memory_id, e.parent, list_append(w.seen, w.up) FROM w JOIN e ON e.relationship_type = w.relationship_type AND e.child = w.up WHERE NOT list_contains(w.seen, w.up))
+SELECT relationship_type, memory_id, array_to_string(list_sort(seen), '/') AS cycle FROM w WHERE up = memory_id""",
+    "p4_other_parents": r"""WITH x AS (SELECT DISTINCT regexp_replace(lower(regexp_replace(relationship_type, '^\s+|\s+$', '', 'g')), '[-_\s]+', '_', 'g') AS relationship_type, source_memory_id AS child, target_memory_id AS parent FROM memory_relationships)
+SELECT relationship_type, child, parent FROM x WHERE relationship_type IN ('superseded_by', 'merged_into', 'fulfilled_by') AND child IS NOT NULL AND parent IS NOT NULL
+QUALIFY parent > min(parent) OVER (PARTITION BY relationship_type, child)""",
     "p4_descendants": _TREE
     + """, d AS (
   SELECT relationship_type, memory_id, memory_id AS descendant_id, 0 AS distance FROM t
@@ -79,7 +98,9 @@ FROM n LEFT JOIN t ON n.relationship_type = t.relationship_type AND n.memory_id
 SELECT relationship_type, memory_id, descendant_id, distance FROM d WHERE distance > 0""",
     "p5_found": _LOG + "SELECT tenant, entity_key, attribute_key, memory_id AS opened_by, coalesce(next_id, -1) AS closed_by FROM v WHERE NOT negated",
     "p5_history": _LOG
-    + """SELECT tenant, entity_key, attribute_key, value_text, memory_id AS opened_by, updated_at AS valid_from, coalesce(next_id, -1) AS closed_by,
-  next_at AS valid_to, CASE WHEN next_id IS NOT NULL THEN CASE WHEN next_negated THEN 'negated' ELSE 'restated' END END AS closed_how
-FROM v WHERE NOT negated""",
+    + """, c AS (SELECT tenant, entity_key, attribute_key, count(*) AS n FROM l GROUP BY 1, 2, 3), r AS (SELECT attribute_key, sum(n) / count(*) - 1 AS rate FROM c GROUP BY 1)
+SELECT v.tenant, v.entity_key, v.attribute_key, value_text, memory_id AS opened_by, updated_at AS valid_from, coalesce(next_id, -1) AS closed_by,
+  next_at AS valid_to, CASE WHEN next_id IS NOT NULL THEN CASE WHEN next_negated THEN 'negated' ELSE 'restated' END END AS closed_how,
+  CASE WHEN rate >= (SELECT quantile_cont(rate, 0.5) FROM r) THEN 'fast' ELSE 'slow' END AS satellite
+FROM v JOIN r ON r.attribute_key IS NOT DISTINCT FROM v.attribute_key WHERE NOT negated""",
 }

@@ -43,8 +43,31 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _left[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of frames that came from :func:`materialize` and that nothing will read again."""
+    for df in frames:
+        path = getattr(df, "_written", None)
+        if path in _left:
+            _remove(_left.pop(path), path)
+
+
+#: Written folders that still stand, with their session.
+_left: dict[str, SparkSession] = {}
+
+
+def _remove_left() -> None:
+    for path, spark in _left.items():
+        _remove(spark, path)
+    _left.clear()
+
+
+atexit.register(_remove_left)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

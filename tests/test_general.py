@@ -150,3 +150,51 @@ def test_no_own_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         scale.shared_dir(type("S", (), {"sparkContext": Context}))
+
+
+def feed(rng, n, start=0):
+    rows = []
+    for i in range(n):
+        a = rng.choice(["home", "job", "job", "mood", "mood", "mood"])
+        v = rng.choice(["x", "X ", "y", "z"]) if a == "mood" else rng.choice(["x", "x", "x", "y"])
+        at = datetime(2024, 1, 1) + timedelta(minutes=start + i)
+        rows.append((start + i, rng.choice(["t", "t", "u", None]), rng.choice("ab"), a, v, True, "CURRENT" if rng.random() < 0.9 else "HISTORICAL", rng.random() < 0.15, False, at, "p"))
+    return rows
+
+
+def test_a_batch_is_appended_as_if_the_feed_were_one(spark):
+    rng = random.Random(4)
+    parts = [feed(rng, n, s) for s, n in ((0, 200), (200, 1), (201, 150), (351, 60))]
+    cols = [*V.KEYS, "memory_id", "updated_at", "value_text", "negated", "diff"]
+    df = lambda rows: spark.createDataFrame(rows, FACTS)
+    log = scale.materialize(V.satellite_log(df(parts[0])).select(cols))
+    for p in parts[1:]:
+        log = scale.materialize(log.unionByName(V.appended(log, df(p)).select(cols)))
+    want = V.satellite_log(df([r for p in parts for r in p])).select(cols)
+    assert sorted(map(tuple, log.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and log.count() > 100
+    assert V.appended(log, df(parts[0]).where("false")).count() == 0
+
+
+def test_attributes_are_split_by_change_rate(spark):
+    rows = feed(random.Random(5), 400)
+    s = V.satellites(spark.createDataFrame(rows, FACTS))
+    names = {n: {r.attribute_key for r in d.select("attribute_key").distinct().collect()} for n, d in s.items()}
+    assert names["slow"] and names["fast"] and not names["slow"] & names["fast"] and "mood" in names["fast"]
+    v = V.versions(spark.createDataFrame(rows, FACTS))
+    assert v.count() == sum(d.where("diff IS NOT NULL").count() for d in s.values())
+    assert {(r.attribute_key, r.satellite) for r in v.select("attribute_key", "satellite").distinct().collect()} == {(a, n) for n, x in names.items() for a in x}
+
+
+def test_links_to_other_parents_are_told(spark):
+    rows = [(1, 5, 2, "merged_into", ""), (2, 5, 3, "Merged Into", ""), (3, 5, 3, "merged_into", ""), (4, 6, 5, "merged_into", ""), (5, None, 3, "merged_into", ""), (6, 5, 9, "x", "")]
+    assert [tuple(r) for r in H.other_parents(spark.createDataFrame(rows, LINKS)).collect()] == [("merged_into", 5, 3)]
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    d = scale.materialize(spark.range(3))
+    path = d._written.removeprefix("file:")
+    assert os.path.isdir(path)
+    scale.discard(d, spark.range(1))
+    assert not os.path.isdir(path)

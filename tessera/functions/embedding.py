@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import scoring
+
 #: A provider turns texts into a matrix with a row for each.
 Provider = Callable[[list[str]], np.ndarray]
 
@@ -51,8 +53,7 @@ def embedded(text: Column, provider: Provider, width: int) -> Column:
     return run(text)
 
 
-def pair_similarity(first: Column, second: Column) -> Column:
-    """Cosine similarity of two vectors, to look at what a threshold would part."""
-    from tessera.functions.scoring import cosine_distance
-
-    return 1 - cosine_distance(first, second)
+def calibration(pairs: DataFrame, provider: Provider, width: int) -> DataFrame:
+    """``pairs`` (first, second, label) with their cosine similarity, to look at what a threshold would part."""
+    v = pairs.select("label", "first", "second", embedded(F.col("first"), provider, width).alias("a"), embedded(F.col("second"), provider, width).alias("b"))
+    return v.select("label", "first", "second", F.round(1 - scoring.cosine_distance(F.col("a"), F.col("b")), 6).alias("similarity"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 WEIGHTS = {"semantic": 0.40, "lexical": 0.20, "graph": 0.15, "importance": 0.10, "recency": 0.06, "access": 0.04, "category": 0.05}
 CONTRADICTED = 0.80
 IMPORTANCE = {"profile": 0.95, "preference": 0.80, "habit": 0.70, "event": 0.50}
+# Older names of what is done with a relation, and of the link that a decision makes.
+RELATION_ACTIONS = {"duplicate": "merge", "reinforcement": "reinforce", "related": "link", "independent": "store", "contradiction": "contradict"}
+DECISION_LINKS = {"reinforce": "supports", "related": "related", "ignore": "duplicate_of"}
 SINGLE_VALUED = ("residence", "employer", "name", "age")
 SINGLE_VALUED_TYPES = ("LOCATION", "EMPLOYMENT", "PROFILE")
 
@@ -100,3 +103,8 @@ def domain_key(entity: Column, attribute: Column, value: Column, single: Column)
     """Facts compete by (entity, attribute), of many-valued attributes by the value as well."""
     base = F.concat_ws("|", F.lower(F.trim(entity)), F.lower(F.trim(attribute)))
     return F.when(single, base).otherwise(F.concat_ws("|", base, F.lower(F.trim(value))))
+
+
+def mapped(value: Column, names: dict[str, str]) -> Column:
+    """The name that a value stands for, null for others."""
+    return F.coalesce(*[F.when(value == k, v) for k, v in names.items()])

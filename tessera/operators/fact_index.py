@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import extraction, scoring
 from tessera.functions import text as X
-from tessera.scale import materialize
+from tessera.scale import carry_last, carry_next, materialize, ordered_chunks
 
 KEYS = ["tenant", "entity_key", "attribute_key"]
 DERIVED = ["tenant", "entity_key", "attribute_key", "value_key", "value_text", "fact_type", "single_valued", "temporal_state", "is_negated", "is_placeholder", "confidence", "content_sha256", "extractor_version"]
@@ -128,3 +128,18 @@ def consistency(index: DataFrame, memories: DataFrame, version: str) -> DataFram
     j = want.alias("a").join(index.alias("b"), F.col("a.memory_id") == F.col("b.memory_id"), "full_outer")
     problem = F.when(F.col("b.memory_id").isNull(), "missing").when(F.col("a.memory_id").isNull(), "unexpected").when(~same, "stale")
     return j.select(F.coalesce("a.memory_id", "b.memory_id").alias("memory_id"), problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def contradicted(index: DataFrame) -> DataFrame:
+    """(memory_id, contradicted_id): of each current claim the newest earlier claim that it contradicts.
+
+    Claims are single-valued, current, not negated and no placeholder; two of one domain with different values
+    contradict each other, and ids tell which is earlier. Taken over ordered chunks by carrying the end of the
+    last run of another value, so a hot domain is neither gathered nor compared pair by pair.
+    """
+    c = index.where("single_valued AND NOT is_placeholder AND NOT is_negated AND temporal_state = 'CURRENT' AND value_key IS NOT NULL").select("memory_id", *KEYS, "value_key")
+    d = ordered_chunks(c, KEYS, ["memory_id"])
+    d = carry_next(d, KEYS, ["memory_id"], "following", F.struct("value_key"))
+    ends = F.col("following").isNotNull() & (F.col("following.value_key") != F.col("value_key"))
+    d = carry_last(d, KEYS, ["memory_id"], "contradicted_id", F.when(ends, F.col("memory_id")))
+    return d.where("contradicted_id IS NOT NULL").select("memory_id", "contradicted_id")

@@ -100,14 +100,15 @@ def change_rates(log: DataFrame) -> DataFrame:
     At most one row for each attribute name: a dictionary, joined by Spark's own choice.
     """
     per = log.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).groupBy("attribute_key").agg((F.sum("n") / F.count(F.lit(1)) - 1).alias("rate"))
-    middle = per.agg(F.percentile("rate", 0.5).alias("middle"))  # one row
-    return per.join(F.broadcast(middle)).select("attribute_key", "rate", F.when(F.col("rate") >= F.col("middle"), "fast").otherwise("slow").alias("satellite"))
+    per = materialize(per)
+    middle = per.agg(F.percentile("rate", 0.5)).first()[0]
+    return per.select("attribute_key", "rate", F.when(F.col("rate") >= F.lit(middle), "fast").otherwise("slow").alias("satellite"))
 
 
 def satellites(facts: DataFrame) -> dict[str, DataFrame]:
     """The log of each satellite, a table of its own: attributes are split by how often they change."""
     log = materialize(satellite_log(facts))
-    rate = materialize(change_rates(log)).select(F.col("attribute_key").alias("__a"), "satellite")
+    rate = change_rates(log).select(F.col("attribute_key").alias("__a"), "satellite")
     split = log.join(rate, F.col("attribute_key").eqNullSafe(F.col("__a"))).drop("__a")
     return {name: materialize(split.where(F.col("satellite") == name).drop("satellite")) for name in SATELLITES}
 

@@ -161,3 +161,19 @@ def candidates(queries: DataFrame, memories: DataFrame, entities: DataFrame, ali
     return j.withColumn("score", score).withColumn("reasons", F.array_join(reasons, ",")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("in_words")
 
 
+#: Similarity from which the nearest memory counts as the same statement.
+DUPLICATE = 0.90
+
+
+def duplicate_or_new(statements: DataFrame, memories: DataFrame, pool: int = 5) -> DataFrame:
+    """(query_id, kind, memory_id, importance, access_count): what a statement is by its nearest live memory alone.
+
+    A ``duplicate`` comes with the memory's counters strengthened, a ``new`` one with none. ``statements``
+    has query_id, tenant and embedding; a memory of the same id is not its own duplicate.
+    """
+    near = semantic_pool(statements, memories, pool + 1).where("query_id <> memory_id AND distance IS NOT NULL")
+    best = near.groupBy("query_id").agg(F.min(F.struct("distance", "memory_id")).alias("b")).where(F.round(1 - F.col("b.distance"), 12) >= DUPLICATE)
+    hit = best.select("query_id", F.col("b.memory_id").alias("memory_id"))
+    m = memories.select(F.col("id").alias("memory_id"), F.least(F.lit(1.0), F.coalesce("importance", F.lit(0.5)) + 0.05).alias("importance"), (F.coalesce("access_count", F.lit(0)) + 1).alias("access_count"))
+    j = statements.select("query_id").join(hit.join(m, "memory_id"), "query_id", "left")
+    return j.select("query_id", F.when(F.col("memory_id").isNotNull(), "duplicate").otherwise("new").alias("kind"), "memory_id", "importance", "access_count")

@@ -119,18 +119,24 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return E.averages(E.ranking_metrics(ranked, g, 3))
 
 
+def duplicate_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Each question as a statement: a duplicate of its nearest other memory, or new."""
+    x = R.duplicate_or_new(questions(spark, d), table(spark, d, "memories"))
+    return x.withColumn("importance", F.round("importance", 6))
+
+
+def fact_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return FI.contradicted(FI.current(table(spark, d, "knowledge_facts")))
+
+
 def pair_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Supersession links held against contents that a later fact of the same domain replaces."""
-    index = FI.current(table(spark, d, "knowledge_facts")).where("single_valued AND NOT is_placeholder")
+    """Supersession links held against the contradictions between current claims."""
     links = L.distinct_links(table(spark, d, "memory_relationships")).where("relationship_type = 'superseded_by'").select(F.col("source_memory_id").alias("a"), F.col("target_memory_id").alias("b"))
-    k = ["tenant", "entity_key", "attribute_key"]
-    a = index.select(F.col("memory_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in k])
-    b = index.select(F.col("memory_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in k])
-    same = links.join(a, "a").join(b, "b").where(" AND ".join(f"a_{c} = b_{c}" for c in k)).select("a", "b")
-    return E.pair_precision_recall(links, same)
+    told = fact_contradictions(spark, d).select(F.col("contradicted_id").alias("a"), F.col("memory_id").alias("b"))
+    return E.pair_precision_recall(links, told)
 
 
-QUERIES = {f.__name__: f for f in (semantic_search, lexical_search, graph_search, hybrid_retrieval, query_intents, context_selection, context_package, agent_answers, domain_winners, budget_prefix, retrieval_metrics, pair_quality)}
+QUERIES = {f.__name__: f for f in (semantic_search, lexical_search, graph_search, hybrid_retrieval, query_intents, context_selection, context_package, agent_answers, domain_winners, budget_prefix, retrieval_metrics, duplicate_statements, fact_contradictions, pair_quality)}
 
 _Q = "q AS (SELECT id AS query_id, tenant, content AS query, embedding, false AS past FROM memories WHERE id % 20 = 0 AND content IS NOT NULL)"
 _SEM = """vm AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM memories WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -191,7 +197,14 @@ r AS (SELECT conversation_id, id, CAST(sum(length(raw_text)) OVER (PARTITION BY
 pp AS (SELECT h.query_id, coalesce(max(n), 0) AS n, count(*) FILTER (WHERE rank <= 3) AS shown, sum(hit) FILTER (WHERE rank <= 3) AS hits, min(CASE WHEN hit = 1 THEN rank END) AS first, sum(hit / log2(rank + 1)) FILTER (WHERE rank <= 3) AS dcg FROM hh h LEFT JOIN rel ON rel.query_id = h.query_id GROUP BY 1),
 i AS (SELECT *, (SELECT sum(1 / log2(k + 1)) FROM range(1, least(3, n) + 1) x(k)) AS ideal FROM pp)
 SELECT count(*) AS queries, round(avg(hits / shown), 6) AS precision, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE hits / n END), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE coalesce(dcg / ideal, 0) END), 6) AS ndcg FROM i""",
-    "pair_quality": f"""WITH {SQ._LINKS}, {SQ._CURRENT}, x AS (SELECT source_memory_id AS a, target_memory_id AS b FROM l WHERE relationship_type = 'superseded_by'), c AS (SELECT * FROM cur WHERE single_valued AND NOT is_placeholder),
-y AS (SELECT x.* FROM x JOIN c s ON s.memory_id = a JOIN c t ON t.memory_id = b WHERE s.tenant = t.tenant AND s.entity_key = t.entity_key AND s.attribute_key = t.attribute_key)
-SELECT (SELECT count(*) FROM y) AS hits, CASE WHEN (SELECT count(*) FROM x) = 0 THEN 1.0 ELSE round((SELECT count(*) FROM y)::DOUBLE / (SELECT count(*) FROM x), 6) END AS precision, 1.0 AS recall""",
+    "duplicate_statements": f"""WITH {_Q}, {_SEM}, b AS (SELECT query_id, arg_min(memory_id, (distance, memory_id)) AS memory_id, min(distance) AS distance FROM pr WHERE query_id <> memory_id AND distance IS NOT NULL GROUP BY 1),
+x AS (SELECT b.query_id, b.memory_id, round(least(1.0, coalesce(importance, 0.5) + 0.05::DOUBLE), 6) AS importance, CAST(coalesce(access_count, 0) + 1 AS INTEGER) AS access_count FROM b JOIN memories m ON m.id = b.memory_id WHERE round(1 - distance, 12) >= 0.90::DOUBLE)
+SELECT q.query_id, CASE WHEN x.memory_id IS NULL THEN 'new' ELSE 'duplicate' END AS kind, x.memory_id, x.importance, x.access_count FROM q LEFT JOIN x ON x.query_id = q.query_id""",
+    "fact_contradictions": f"""WITH {SQ._CURRENT}, c AS (SELECT * FROM cur WHERE single_valued AND NOT is_placeholder AND NOT is_negated AND temporal_state = 'CURRENT' AND value_key IS NOT NULL)
+SELECT a.memory_id, max(b.memory_id) AS contradicted_id FROM c a JOIN c b ON b.tenant IS NOT DISTINCT FROM a.tenant AND b.entity_key IS NOT DISTINCT FROM a.entity_key AND b.attribute_key IS NOT DISTINCT FROM a.attribute_key AND b.memory_id < a.memory_id AND b.value_key <> a.value_key GROUP BY 1""",
+    "pair_quality": f"""WITH {SQ._LINKS}, {SQ._CURRENT}, c AS (SELECT * FROM cur WHERE single_valued AND NOT is_placeholder AND NOT is_negated AND temporal_state = 'CURRENT' AND value_key IS NOT NULL),
+x AS (SELECT DISTINCT source_memory_id AS a, target_memory_id AS b FROM l WHERE relationship_type = 'superseded_by'),
+y AS (SELECT max(o.memory_id) AS a, n.memory_id AS b FROM c n JOIN c o ON o.tenant IS NOT DISTINCT FROM n.tenant AND o.entity_key IS NOT DISTINCT FROM n.entity_key AND o.attribute_key IS NOT DISTINCT FROM n.attribute_key AND o.memory_id < n.memory_id AND o.value_key <> n.value_key GROUP BY n.memory_id),
+h AS (SELECT count(*) AS hits FROM x JOIN y USING (a, b))
+SELECT hits, CASE WHEN (SELECT count(*) FROM x) = 0 THEN 1.0 ELSE round(hits::DOUBLE / (SELECT count(*) FROM x), 6) END AS precision, CASE WHEN (SELECT count(*) FROM y) = 0 THEN 1.0 ELSE round(hits::DOUBLE / (SELECT count(*) FROM y), 6) END AS recall FROM h""",
 }

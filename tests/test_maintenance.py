@@ -106,3 +106,35 @@ def test_backfill_and_access(spark):
     seen = {r.id: (r.access_count, r.state) for r in M.listing(rows(spark), record_access=True).collect()}
     assert seen == {1: (1, "weak")}
     assert A.report_json(rows(spark).select("id")).first()[0] == '{"id":1}'
+
+
+def test_append_reads_nothing_and_conflicts_are_told(spark, tmp_path):
+    s = Snapshots(spark, f"file://{tmp_path}/t")
+    kv = lambda *r: spark.createDataFrame(list(r), "memory_id bigint, v string")
+    s.append(kv((1, "a")))
+    first = s.parts(1)
+    s.append(kv((2, "b")))
+    assert s.parts(2)[: len(first)] == first and len(s.parts(2)) == 2 and s.read().count() == 2
+    late = Snapshots(spark, f"file://{tmp_path}/t")
+    late.version = lambda: 1  # a writer that has not seen the second version
+    with pytest.raises(Conflict):
+        late.append(kv((3, "c")))
+    assert s.version() == 2 and s.read().count() == 2
+
+
+def test_settings_names_and_calibration(spark):
+    from tessera import settings
+    from tessera.functions import embedding, scoring
+
+    got = settings.load({"CONTEXT_RETRIEVAL_LIMIT": "7", "WAREHOUSE": "/w", "CONTEXT_TOKEN_BUDGET": " "})
+    assert (got.context_retrieval_limit, got.warehouse, got.context_token_budget) == (7, "/w", 1200)
+    for bad in ({"CONTEXT_RETRIEVAL_LIMIT": "x"}, {"STRUCTURAL_CANDIDATE_LIMIT": "-1"}):
+        with pytest.raises(ValueError):
+            settings.load(bad)
+    names = spark.createDataFrame([("duplicate",), ("contradiction",), ("?",)], "r string").select(scoring.mapped(F.col("r"), scoring.RELATION_ACTIONS))
+    assert [r[0] for r in names.collect()] == ["merge", "contradict", None]
+    pairs = spark.createDataFrame([("I like tea", "tea I like", "duplicate"), ("I like tea", "Dark mode", "different"), (None, "x", "none")], "first string, second string, label string")
+    c = {r.label: r.similarity for r in embedding.calibration(pairs, embedding.hashed_words(64), 64).collect()}
+    assert c["duplicate"] > 0.999 and c["different"] < 0.5 and c["none"] is None
+    with pytest.raises(Exception, match="wide"):
+        pairs.select(embedding.embedded(F.col("second"), embedding.hashed_words(8), 64)).collect()

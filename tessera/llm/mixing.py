@@ -12,6 +12,7 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.scale import materialize, prefix_sums
 
@@ -75,5 +76,5 @@ def shares(mixed: DataFrame, rated: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_repeats, max_repeats, rate)."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.when(F.col("copy") == 1, 1)).alias("documents"), F.max("copy").alias("most_repeats"))
     got = rated.select("source", "target_share", "max_repeats", "rate").join(got, "source", "left").fillna(0, ["tokens", "documents", "most_repeats"])
-    total = got.agg(F.sum("tokens").alias("all"))  # one row
-    return got.join(F.broadcast(total)).select("source", "target_share", F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).alias("actual_share"), "tokens", "documents", "most_repeats", "max_repeats", "rate")
+    # a row for each source of the targets
+    return got.withColumn("all", F.sum("tokens").over(Window.partitionBy())).select("source", "target_share", F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).alias("actual_share"), "tokens", "documents", "most_repeats", "max_repeats", "rate")

@@ -11,8 +11,8 @@ they stand for, legal forms and trades are written out. An identity is
 Typing errors are rewritings too: a form is exploded into itself and itself without one character, and
 two forms within one edit always share one of these. Forms are hashed and equi-joined; the pairs are
 then compared exactly. Full identities link to each other. A weak identity is scored by the rarity of
-its rewriting: it links only where all the full identities that it can stand for (at the least edit)
-are one entity. Linked identities are closed into entities by connected components.
+its rewriting, one over the number of entities that it can stand for (at the least edit), and links where
+that is ``least_rarity`` or more. Linked identities are closed into entities by connected components.
 
 Two names that are both frequent as given names are different people even at one edit, as are two
 middle initials that differ, and companies of one name in different trades.
@@ -25,7 +25,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import connected_components
@@ -203,50 +203,56 @@ def _identities(given: set[str], forms: dict[str, set[str]], trades: set[str]):
     return run
 
 
-def _forms_of(kind: str, a: str, b: str, c: str, weak: bool) -> tuple[set[str], set[str]]:
-    """(forms offered to be found, forms looked for). Full identities offer what weak ones look for."""
-    if kind == "PERSON":
-        both = {f"P{x}" for x in deletions(a + b)}
-        initial = {f"I{a[0]}|{x}" for x in deletions(b)}
-        if not weak:
-            return both | initial, both
-        return set(), initial if len(a) == 1 else both
-    names = deletions(b)
-    if not weak:
-        return {f"{p}{x}" for x in names for p in (f"O{a}|{c}|", f"O{a}||", f"O|{c}|", "O||")}, {f"O{a}|{c}|{x}" for x in names}
-    return set(), {f"O{a}|{c}|{x}" for x in names}
+def shortened(s: Column) -> Column:
+    """A text and all it becomes by leaving out one character: texts within one edit always share one of these."""
+    return F.array_distinct(F.concat(F.array(s), F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))).otherwise(F.array().cast("array<string>"))))
 
 
-def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for lo in range(0, len(batch), 2000):
-            out = []
-            for r in batch.iloc[lo : lo + 2000].itertuples(index=False):
-                offered, wanted = _forms_of(r.kind, r.a, r.b, r.c, r.weak)
-                out += [(f, f in offered, f in wanted, *r) for f in offered | wanted]
-            yield pd.DataFrame(out, columns=["form", "offered", "wanted", *batch.columns])
-
-
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The number of edits of each candidate pair that may be one entity (x full or weak, y full)."""
-    for batch in batches:
-        edits = []
-        for r in batch.itertuples(index=False):
-            if r.kind == "PERSON":
-                if r.xweak and len(r.xa) == 1:
-                    e = one_edit(r.xb, r.yb) if r.xa == r.ya[0] else None
-                else:
-                    e = one_edit(r.xa + r.xb, r.ya + r.yb)
-                    if e and r.xa != r.ya and r.xg and r.yg:
-                        e = None  # both are given names of their own
-                if e is not None and r.xc and r.yc and not set(r.xc) & set(r.yc):
-                    e = None
-            else:
-                e = one_edit(r.xb, r.yb) if (not r.xa or r.xa == r.ya) and (not r.xc or r.xc == r.yc) else None
-            edits.append(-1 if e is None else e)
-        keep = [e >= 0 for e in edits]
-        out = batch.loc[keep, ["x", "y", "xweak"]].assign(edits=[e for e in edits if e >= 0])
-        yield out
+def edits(a: Column, b: Column) -> Column:
+    """0 if equal, 1 if one insertion, deletion, substitution or swap of neighbours apart, else null."""
+    apart = F.levenshtein(a, b, 2)
+    swapped = F.exists(F.sequence(F.lit(1), F.length(a) - 1), lambda i: a == F.concat(b.substr(F.lit(1), i - 1), b.substr(i + 1, F.lit(1)), b.substr(i, F.lit(1)), b.substr(i + 2, F.length(b))))
+    return F.when(apart == 0, 0).when(apart == 1, 1).when((apart == 2) & (F.length(a) == F.length(b)) & (F.length(a) > 1) & swapped, 1)
+
+
+def forms() -> Column:
+    """array<struct<form, offered, wanted>> of an identity (kind, a, b, c, weak): what it offers to be found and looks for.
+
+    Full identities offer what weak ones look for: a name by its initial, a company without its trade or
+    legal form. Among each other they meet by their own forms.
+    """
+    kind, a, b, c, weak = (F.col(x) for x in ("kind", "a", "b", "c", "weak"))
+    form = lambda prefix, texts, offered, wanted: F.transform(texts, lambda x: F.struct(F.xxhash64(F.concat(prefix, x)).alias("form"), offered.alias("offered"), wanted.alias("wanted")))
+    yes, no = F.lit(True), F.lit(False)
+    initial = F.concat(F.lit("I"), a.substr(1, 1), F.lit("|"))
+    by_initial = weak & (F.length(a) == 1)
+    person = F.concat(
+        F.when(~by_initial, form(F.lit("P"), shortened(F.concat(a, b)), ~weak, yes)).otherwise(F.array().cast(FORMS)),
+        F.when(~weak | by_initial, form(initial, shortened(b), ~weak, by_initial)).otherwise(F.array().cast(FORMS)),
+    )
+    names = shortened(b)
+    whole = F.concat(F.lit("O"), a, F.lit("|"), c, F.lit("|"))
+    bare = lambda prefix: form(prefix, names, yes, no)
+    # what an organisation lacks may be empty in the full form as well: each form counts once
+    organisation = F.concat(form(whole, names, ~weak, yes), F.when(~weak, F.concat(bare(F.concat(F.lit("O"), a, F.lit("||"))), bare(F.concat(F.lit("O|"), c, F.lit("|"))), bare(F.lit("O||")))).otherwise(F.array().cast(FORMS)))
+    return F.when(kind == "PERSON", person).otherwise(organisation)
+
+
+FORMS = "array<struct<form:bigint,offered:boolean,wanted:boolean>>"
+
+
+def compared(given: list[str]) -> Column:
+    """The number of edits between a candidate pair that may be one entity (x full or weak, y full), else null.
+
+    ``given`` are words known as given names: two of them are different names even at one edit.
+    """
+    x, y = {c: F.col(f"x{c}") for c in "abc"}, {c: F.col(f"y{c}") for c in "abc"}
+    named = edits(F.concat(x["a"], x["b"]), F.concat(y["a"], y["b"]))
+    others = (x["a"] != y["a"]) & x["a"].isin(given) & y["a"].isin(given)
+    person = F.when(F.col("xweak") & (F.length(x["a"]) == 1), F.when(x["a"] == y["a"].substr(1, 1), edits(x["b"], y["b"]))).when(~((named > 0) & others), named)
+    middle = (x["c"] != "") & (y["c"] != "") & ~F.arrays_overlap(F.split(x["c"], ""), F.split(y["c"], ""))
+    fits = ((x["a"] == "") | (x["a"] == y["a"])) & ((x["c"] == "") | (x["c"] == y["c"]))
+    return F.when(F.col("kind") == "PERSON", F.when(~middle, person)).otherwise(F.when(fits, edits(x["b"], y["b"])))
 
 
 def _frequent(words: DataFrame, n: int, share: float, least: int) -> set[str]:
@@ -254,58 +260,53 @@ def _frequent(words: DataFrame, n: int, share: float, least: int) -> set[str]:
     return {r["w"] for r in words.groupBy("w").count().where(F.col("count") >= max(share * n, least)).collect()}
 
 
-def name_variants(entities: DataFrame, name_forms: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def name_variants(entities: DataFrame, name_forms: DataFrame, aliases: DataFrame | None = None, least_rarity: float = 1.0) -> DataFrame:
     """(id, entity): entity is the least id of the rows that name the same person or organisation.
 
     ``entities`` has id, normalized_name, display_name and entity_type; rows that are neither PERSON
     nor ORG, without id or without a readable name are entities of their own. Null names are skipped,
     repeated rows join their first, an empty table gives no row. ``aliases`` (entity_id,
     alias_normalized) are further spellings of a row. ``name_forms`` (given_name, short_form) is a
-    dictionary of the language, gathered by the driver.
+    dictionary of the language, gathered by the driver. A name that could stand for several entities joins
+    none of them, unless ``least_rarity`` is lowered (0.5: the first of two).
     """
     e = entities.select(F.col("id").cast("bigint").alias("id"), F.upper(F.trim("entity_type")).alias("kind"), F.col("normalized_name").alias("n1"), F.col("display_name").alias("n2")).where("id IS NOT NULL AND kind IN ('PERSON', 'ORG')")
     names = e.select("id", "kind", F.explode(F.array_distinct(F.array(F.lower("n1"), F.lower("n2")))).alias("n"))
     if aliases is not None:
         names = names.unionByName(aliases.select(F.col("entity_id").cast("bigint").alias("id"), F.lower("alias_normalized").alias("n")).join(e.select("id", "kind"), "id"))
     names = names.where("n IS NOT NULL")
-    forms: dict[str, set[str]] = {}
+    forms_of: dict[str, set[str]] = {}
     for r in name_forms.where("given_name IS NOT NULL AND short_form IS NOT NULL").distinct().collect():
-        forms.setdefault(plain(r["short_form"]), set()).add(plain(r["given_name"]))
-    given = {g for s in forms.values() for g in s}
+        forms_of.setdefault(plain(r["short_form"]), set()).add(plain(r["given_name"]))
+    given = {g for s in forms_of.values() for g in s}
     words = F.split(F.trim(F.regexp_replace("n", r"[^\p{L}\p{M}\s-]+", " ")), r"\s+")
     counts = {r["kind"]: r["count"] for r in e.groupBy("kind").count().collect()}
-    behind = names.where("kind = 'ORG'").select(F.explode(F.slice(words, 2, 50)).alias("w"))
+    behind = names.where("kind = 'ORG'").select(F.explode(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1)))).alias("w"))
     trades = {w for w in _frequent(behind, counts.get("ORG", 0), TRADE_SHARE, 3) if plain(w) not in _LEGAL_FORM and w not in NOTES and len(w) >= 5}
     firsts = names.where("kind = 'PERSON' AND n RLIKE '^[^,. ]{3,} [^,]+$'").select(F.element_at(words, 1).alias("w"))
-    given |= {plain(w) for w in _frequent(firsts, counts.get("PERSON", 0), GIVEN_SHARE, 3)} - set(forms)
-    shared = entities.sparkSession.sparkContext.broadcast(given)  # at most 1 / GIVEN_SHARE words
-
-    ids = names.mapInPandas(_identities(given, forms, trades), IDENTITY).distinct()
+    given |= {plain(w) for w in _frequent(firsts, counts.get("PERSON", 0), GIVEN_SHARE, 3)} - set(forms_of)
+    ids = names.mapInPandas(_identities(given, forms_of, trades), IDENTITY).distinct()
     ids = materialize(ids.withColumn("key", F.xxhash64("kind", "a", "b", "c", "weak")))
     distinct = materialize(ids.select("key", "kind", "a", "b", "c", "weak").distinct())
-    exploded = distinct.mapInPandas(_exploded, "form string, offered boolean, wanted boolean, key bigint, kind string, a string, b string, c string, weak boolean")
-    exploded = exploded.withColumn("form", F.xxhash64("form"))
+    exploded = distinct.select("*", F.explode(forms()).alias("f")).select("f.*", *distinct.columns)
     x, y = exploded.where("wanted").alias("x"), exploded.where("offered").alias("y")
     met = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.weak") | (F.col("x.key") < F.col("y.key"))))
-    met = met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y"), "x.kind", F.col("x.weak").alias("xweak"), *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in "abc"]).distinct()
-
-    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield from _compared(iter([b.assign(xg=b["xa"].isin(shared.value), yg=b["ya"].isin(shared.value))]))
-
-    pairs = materialize(met.mapInPandas(marked, "x bigint, y bigint, xweak boolean, edits int"))
+    met = met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y"), "x.kind", F.col("x.weak").alias("xweak"), *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in "abc"])
+    # compared before repeats are dropped: most that meet are no pair
+    pairs = materialize(met.select("x", "y", "xweak", compared(sorted(given)).alias("edits")).where("edits IS NOT NULL").distinct())
     # entities of full identities: identities that link, and identities of one row
     same_row = ids.where("NOT weak").groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("x", "y")
     full = distinct.where("NOT weak").select(F.col("key").alias("x"), F.col("key").alias("y"))
     comp = connected_components(pairs.where("NOT xweak").select("x", "y").unionByName(same_row).unionByName(full), "x", "y")
     comp = comp.select(F.col("node").alias("y"), "component")
-    # a weak identity stands for the one entity among its nearest full identities, if it is one
-    cand = pairs.where("xweak").join(comp, "y").groupBy("x", "edits").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    best = cand.groupBy("x").agg(F.min_by(F.struct("lo", "hi"), "edits").alias("m"))
-    weak = ids.where("weak").select("id", F.col("key").alias("x")).join(best, "x", "left")
-    # ways to read one row (several given names of a familiar form) have to agree as well
-    attached = weak.groupBy("id").agg(F.min("m.lo").alias("lo"), F.max("m.hi").alias("hi"), F.min("x").alias("own"))
-    attached = attached.select("id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNull(), F.col("own")).alias("component"))
+    # a weak identity is scored by its rarity: one over the number of entities among its nearest full identities;
+    # ways to read one row (several given names of a familiar form) count together
+    cand = pairs.where("xweak").join(comp, "y").groupBy("x", "component").agg(F.min("edits").alias("edits"))
+    near = cand.join(cand.groupBy("x").agg(F.min("edits").alias("edits")), ["x", "edits"])
+    weak = ids.where("weak").select("id", F.col("key").alias("x"))
+    rarity = weak.join(near, "x").select("id", "component").distinct().groupBy("id").agg((1 / F.count(F.lit(1))).alias("rarity"), F.min("component").alias("component"))
+    alone = weak.groupBy("id").agg(F.min("x").alias("own")).join(rarity, "id", "left")
+    attached = alone.select("id", F.when(F.col("rarity") >= least_rarity, F.col("component")).when(F.col("rarity").isNull(), F.col("own")).alias("component"))
     known = ids.where("NOT weak").join(comp.withColumnRenamed("y", "key"), "key").groupBy("id").agg(F.min("component").alias("component"))
     placed = known.unionByName(attached.join(known.select("id"), "id", "left_anti")).where("component IS NOT NULL")
     placed = materialize(placed)

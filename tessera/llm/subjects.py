@@ -28,6 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.scale import materialize
 
@@ -363,5 +364,5 @@ def composition(assigned: DataFrame, documents: DataFrame, areas: DataFrame) ->
     words = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
     by = assigned.join(words, "doc_id").groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"), F.round(F.sum(F.col("share") * F.col("w"))).cast("bigint").alias("words"))
     t = areas.select(F.lower(F.trim("subject")).alias("subject"), "target_share").join(by, "subject", "left").fillna(0, ["documents", "words"])
-    total = by.agg(F.sum("words").alias("total"))  # one row
-    return t.join(F.broadcast(total)).select("subject", "documents", "words", F.round(F.col("words") / F.col("total"), 6).alias("word_share"), "target_share")
+    # a row for each subject
+    return t.withColumn("total", F.sum("words").over(Window.partitionBy())).select("subject", "documents", "words", F.round(F.col("words") / F.col("total"), 6).alias("word_share"), "target_share")

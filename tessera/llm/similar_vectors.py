@@ -13,7 +13,9 @@ query and data there, so two rows meet when any of their nearest cells agree. In
 query set, rows lie in one cell and queries visit the number of cells that a calibration finds.
 
 Skew. Rows with equal vectors beyond the k + 1 of least id are answered without a search: their most
-similar rows are the first k of them, at similarity 1. A cell expected to hold more than CELL_ROWS rows
+similar rows are the first k of them, at similarity 1. A query set is answered so as well where k + 1 rows
+or more equal the query, and the cells to visit are calibrated on the others. A block that more than
+BLOCK_QUERIES queries visit is worked on by several tasks, each with a part of the queries. A cell expected to hold more than CELL_ROWS rows
 is split by a hash into parts, and each pair of parts is a task of its own, so no pair is lost.
 """
 
@@ -35,8 +37,9 @@ SPILL = 3
 EPSILON = 3.0
 CELL_ROWS = 16_384
 #: The search of a query set: the recall that decides how many cells it visits, queries to find that
-#: number, rows of a block, and a tighter bound, as the k-th best of near-random vectors leaves little room.
-RECALL, CALIBRATION, BLOCK_ROWS, SEARCH_EPSILON = 0.93, 256, 32_768, 1.9
+#: number, rows of a block, queries beside them in a task, and a tighter bound, as the k-th best of
+#: near-random vectors leaves little room.
+RECALL, CALIBRATION, BLOCK_ROWS, BLOCK_QUERIES, SEARCH_EPSILON = 0.96, 256, 32_768, 65_536, 2.2
 #: Share of a tile from which reranking it is one product.
 DENSE = 0.02
 SEED = 7
@@ -225,6 +228,32 @@ def _searched(placed: DataFrame, dim: int, k: int, least: float) -> DataFrame:
     return placed.groupBy("cell", "lo", "hi").applyInArrow(_search(dim, k, least), "id bigint, other bigint, similarity double")
 
 
+def _keyed(v: DataFrame) -> DataFrame:
+    return v.select("id", F.xxhash64("v").alias("g"), F.hash("v").alias("g2"))
+
+
+def _crowded(v: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """Of the vectors that more than k + 1 rows share: (the k + 1 rows of least id with their rank r, the other rows).
+
+    Rows with (id, g, g2); None if no vector is shared so often. Ranks are cut before the shuffle.
+    """
+    keys = _keyed(v)
+    crowded = materialize(keys.groupBy("g", "g2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > k + 1))
+    if not crowded.limit(1).count():
+        return None
+    inside = keys.join(crowded.select("g", "g2"), ["g", "g2"])
+    first = F.row_number().over(Window.partitionBy("g", "g2").orderBy("id"))
+    heads = materialize(inside.withColumn("r", first).where(F.col("r") <= k + 1))
+    return heads, materialize(inside.join(heads.select("id"), "id", "left_anti"))
+
+
+def _answered(rows: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """(id, other, similarity, rank): the first k rows of equal vector for each of ``rows`` (id, g, g2) that has such."""
+    o = heads.groupBy("g", "g2").agg(F.sort_array(F.collect_list("id")).alias("o"))
+    j = rows.join(o, ["g", "g2"]).select("id", F.posexplode(F.slice(F.filter("o", lambda x: x != F.col("id")), 1, k)).alias("i", "other"))
+    return j.select("id", "other", F.lit(1.0).alias("similarity"), (F.col("i") + 1).alias("rank"))
+
+
 def most_similar(records: DataFrame, id_col: str = "id", vec_col: str = "embedding", *, dim: int = 64, k: int = 10, least: float = -1.0, spill: int = SPILL) -> DataFrame:
     """(id, other, similarity, rank): for every row with a usable vector its k most similar rows.
 
@@ -234,17 +263,12 @@ def most_similar(records: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     table gives no row. Ids are expected to be unique.
     """
     v = usable(records, id_col, vec_col, dim)
-    keys = v.select("id", F.xxhash64("v").alias("g"), F.hash("v").alias("g2"))
     n = v.count()
-    w = Window.partitionBy("g", "g2").orderBy("id")
-    crowded = materialize(keys.groupBy("g", "g2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > k + 1))
+    crowd = _crowded(v, k)
     copies = None
-    if crowded.limit(1).count():
-        inside = keys.join(crowded.select("g", "g2"), ["g", "g2"])
-        heads = materialize(inside.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1))
-        rest = materialize(inside.join(heads.select("id"), "id", "left_anti"))
-        first = heads.where(F.col("r") <= k).groupBy("g", "g2").agg(F.sort_array(F.collect_list("id")).alias("o"))
-        copies = rest.join(first, ["g", "g2"]).select("id", F.posexplode("o").alias("i", "other")).select("id", "other", F.lit(1.0).alias("similarity"), (F.col("i") + 1).alias("rank"))
+    if crowd is not None:
+        heads, rest = crowd
+        copies = _answered(rest, heads, k)
         v = v.join(rest.select("id"), "id", "left_anti")
     cells, share = fit_cells(v, n, dim)
     parts = np.maximum(1, np.ceil(share * n * spill / CELL_ROWS)).astype(np.int64)
@@ -253,15 +277,17 @@ def most_similar(records: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     return out if copies is None else out.unionByName(copies)
 
 
-BLOCKED = "block int, role tinyint, id bigint, cell int, f float, code binary, vec binary, cells binary"
+BLOCKED = "block int, part int, role tinyint, id bigint, cell int, f float, code binary, vec binary, cells binary"
 
 
-def _place_blocks(cells: np.ndarray, order: np.ndarray, blocks: int, dim: int, visits: int | None):
-    """mapInArrow function: data rows (``visits`` None) go to their cell's block, or a part of it by id;
+def _place_blocks(cells: np.ndarray, order: tuple[np.ndarray, np.ndarray], parts: np.ndarray, dim: int, visits: int | None):
+    """mapInArrow function: data rows (``visits`` None) go to their cell's block, or one of its blocks by id;
     a query goes once to each block that has any of its ``visits`` nearest cells, with the list of them.
 
-    ``order`` gives each cell's first block and number of blocks.
+    ``order`` gives each cell's first block and number of blocks, ``parts`` how many tasks share a block:
+    data go to all of them, a query to one.
     """
+    blocks = len(parts)
     rot = rotation(dim)
     first, wide = order
 
@@ -277,7 +303,10 @@ def _place_blocks(cells: np.ndarray, order: np.ndarray, blocks: int, dim: int, v
                 row = np.arange(len(ids))
                 if visits is None:
                     cell = score.argmax(1)
-                    block, lists = first[cell] + ids % wide[cell], [b""] * len(ids)
+                    block = first[cell] + ids % wide[cell]
+                    part = _within(parts[block])
+                    row = np.repeat(row, parts[block])
+                    cell, block, lists = cell[row], block[row], [b""] * len(row)
                 else:
                     near = np.argpartition(score, len(cells) - visits, axis=1)[:, -visits:] if visits < len(cells) else np.tile(np.arange(len(cells)), (len(ids), 1))
                     row, c = np.repeat(row, near.shape[1]), near.ravel()
@@ -290,9 +319,10 @@ def _place_blocks(cells: np.ndarray, order: np.ndarray, blocks: int, dim: int, v
                     lists = [x.tobytes() for x in np.split(c, start[1:])]
                     row, block = key[start] // blocks, key[start] % blocks
                     cell = np.full(len(row), -1)
+                    part = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts[block]
                 take = pa.array(row)
-                cols = [pa.array(block.astype(np.int32)), pa.array(np.full(len(row), 1 if visits is None else 2, np.int8)), pa.array(ids[row].astype(np.int64)), pa.array(cell.astype(np.int32)), pa.array(f[row])]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(_rows(codes), pa.binary()).take(take), pa.array(_rows(raw), pa.binary()).take(take), pa.array(lists, pa.binary())], names=["block", "role", "id", "cell", "f", "code", "vec", "cells"])
+                cols = [pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(row), 1 if visits is None else 2, np.int8)), pa.array(ids[row].astype(np.int64)), pa.array(cell.astype(np.int32)), pa.array(f[row])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(_rows(codes), pa.binary()).take(take), pa.array(_rows(raw), pa.binary()).take(take), pa.array(lists, pa.binary())], names=["block", "part", "role", "id", "cell", "f", "code", "vec", "cells"])
 
     return run
 
@@ -396,13 +426,24 @@ def search(records: DataFrame, queries: DataFrame, id_col: str = "id", vec_col:
     rows and a bigger cell is cut into several blocks by id, so no task holds an unbounded group.
     """
     v, q = usable(records, id_col, vec_col, dim), usable(queries, id_col, vec_col, dim)
+    crowd, copies = _crowded(v, k), None
+    if crowd is not None:
+        heads, rest = crowd
+        v = v.join(rest.select("id"), "id", "left_anti")
+        known = materialize(_keyed(q).join(heads.select("g", "g2").distinct(), ["g", "g2"]))
+        copies = _answered(known, heads, k)
+        q = q.join(known.select("id"), "id", "left_anti")
     n = v.count()
     cells, share = fit_cells(v, n, dim)
     size = share * n
     wide = np.maximum(1, np.ceil(size / BLOCK_ROWS)).astype(np.int64)
     group = np.floor(np.cumsum(np.where(wide > 1, 0, size)) / BLOCK_ROWS).astype(np.int64)
     first = np.where(wide > 1, group.max() + 1 + np.cumsum(np.where(wide > 1, wide, 0)) - wide, group)
-    blocks = int((first + wide).max())
+    parts = np.ones(int((first + wide).max()), np.int64)
     visits = visits_for(v, q, cells, dim, k, recall)
-    placed = v.mapInArrow(_place_blocks(cells, (first, wide), blocks, dim, None), BLOCKED).unionByName(q.mapInArrow(_place_blocks(cells, (first, wide), blocks, dim, visits), BLOCKED))
-    return _best(placed.groupBy("block").applyInArrow(_search_blocks(dim, k), "id bigint, other bigint, similarity double"), k)
+    asked = q.mapInArrow(_place_blocks(cells, (first, wide), parts, dim, visits), BLOCKED)
+    for r in asked.groupBy("block").count().where(F.col("count") > BLOCK_QUERIES).collect():  # at most a row for each block
+        parts[r["block"]] = -(-r["count"] // BLOCK_QUERIES)
+    place = lambda df, visits: df.mapInArrow(_place_blocks(cells, (first, wide), parts, dim, visits), BLOCKED)
+    out = _best(place(v, None).unionByName(place(q, visits)).groupBy("block", "part").applyInArrow(_search_blocks(dim, k), "id bigint, other bigint, similarity double"), k)
+    return out if copies is None else out.unionByName(copies)

@@ -79,3 +79,22 @@ def test_split_cells_lose_no_pair(spark, monkeypatch):
 def test_nothing_to_compare(spark, rows):
     assert S.most_similar(spark.createDataFrame(rows, SCHEMA)).count() == 0
     assert S.search(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)).agg(F.count("*")).first()[0] == 0
+
+
+@pytest.mark.parametrize("queries", [65_536, 7])
+def test_a_query_set_where_a_third_of_the_rows_is_one_vector(spark, monkeypatch, queries):
+    """Copies are answered exactly, the other rows are found as surely as without them, also if blocks are shared by tasks."""
+    monkeypatch.setattr(S, "BLOCK_QUERIES", queries)
+    x = clustered(900, 64, 4)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in S.search(df, df.where("id % 20 = 0")).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    want = brute(dict(enumerate(x)), 10)
+    assert set(got) == set(range(0, 900, 20)) and all(len(v) == len(set(v)) == 10 for v in got.values())
+    others = [i for i in got if i % 3]
+    assert all(got[i] == [j for j in range(0, 36, 3) if j != i][:10] for i in got if i % 3 == 0)
+    # a neighbour may be any of the copies: their similarity is the same
+    same = lambda js: {0 if j % 3 == 0 else j for j in js}
+    assert sum(len(same(got[i]) & same(want[i])) for i in others) >= 0.9 * sum(len(same(want[i])) for i in others)

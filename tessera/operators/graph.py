@@ -25,11 +25,14 @@ def resolve(mentions: DataFrame, text_col: str, entities: DataFrame, aliases: Da
     return mentions.withColumn("name", key).join(names(entities, aliases), "name", "left").drop("name")
 
 
-def spans(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words, start, name): every run of up to five words."""
+def spans(texts: DataFrame, id_col: str, text_col: str, starts: DataFrame | None = None) -> DataFrame:
+    """(id, words, start, name): every run of up to five words, of those that begin with a word of ``starts`` (word) if given."""
     w = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    n = w.select("id", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_SPAN), F.size("w")))).alias("words"))
-    return n.select("id", "words", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("words") + 1), lambda i: F.array_join(F.slice("w", i, F.col("words")), " "))).alias("start", "name"))
+    w = w.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, F.lit(MAX_SPAN)))).alias("start", "run")).withColumn("word", F.col("run")[0])
+    if starts is not None:
+        w = w.join(starts, "word", "left_semi")
+    n = w.select("id", "start", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("words"))
+    return n.select("id", "words", "start", F.array_join(F.slice("run", F.lit(1), F.col("words")), " ").alias("name"))
 
 
 def entities_in(texts: DataFrame, id_col: str, text_col: str, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -38,8 +41,10 @@ def entities_in(texts: DataFrame, id_col: str, text_col: str, entities: DataFram
     Of equal length the earlier run wins. The texts' candidates are few (their runs that are names), so
     the choice is a fold over one short array.
     """
-    # runs that are no name are dropped before anything is grouped
-    hit = spans(texts, id_col, text_col).where(F.col("name") != USER).join(names(entities, aliases), "name")
+    known = names(entities, aliases).where(F.col("name") != USER)
+    # a run is only built where a name's first word stands, and runs that are no name go before anything is grouped
+    starts = known.select(F.split("name", " ")[0].alias("word")).distinct()
+    hit = spans(texts, id_col, text_col, starts).join(known, "name")
     hit = hit.groupBy("id", "name", "entity_id").agg(F.min("start").alias("start"), F.first("words").alias("words"))
     per = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("words")).alias("order"), "start", "words", "entity_id"))).alias("s"))
     kind = "array<struct<order:int,start:int,words:int,entity_id:bigint>>"

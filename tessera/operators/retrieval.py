@@ -106,9 +106,12 @@ def lexical_pool(queries: DataFrame, memories: DataFrame, pool: int = LEXICAL_PO
     """
     q = with_past(queries, include_archived)
     terms = q.select("query_id", "tenant", "past", F.explode(F.array_distinct(X.query_terms(F.col("query")))).alias("term"))
-    words = memories.select("tenant", F.col("id").alias("memory_id"), F.coalesce("state", F.lit("")).alias("state"), F.explode(F.array_distinct(X.tokens(F.col("content")))).alias("term"))
+    raw = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(X.WORD), F.lit(0)))
+    words = memories.select("tenant", F.col("id").alias("memory_id"), F.coalesce("state", F.lit("")).alias("state"), F.explode(raw).alias("raw"))
+    # folded behind the explode, where it is compiled; two words of a text may fold to one term, so ids are ranked densely
+    words = words.withColumn("term", X.fold(F.col("raw"))).drop("raw")
     words = words.join(terms.select("tenant", "term").distinct(), ["tenant", "term"], "left_semi").withColumn("old", F.col("state") == "archived")
-    first = F.row_number().over(Window.partitionBy("tenant", "term", "old").orderBy("memory_id"))
+    first = F.dense_rank().over(Window.partitionBy("tenant", "term", "old").orderBy("memory_id"))
     index = words.withColumn("r", first).where(F.col("r") <= pool).drop("r", "old")
     hit = terms.join(index, ["tenant", "term"]).where(SEEN).select("query_id", "memory_id").distinct()
     w = Window.partitionBy("query_id").orderBy("memory_id")
@@ -142,8 +145,10 @@ def candidates(queries: DataFrame, memories: DataFrame, entities: DataFrame, ali
     gra = graph_pool(q, entities, aliases, memory_entities, memories).select("query_id", "memory_id", none, F.lit(False).alias("lexical"), F.lit(True).alias("graph"))
     pool = sem.unionByName(lex).unionByName(gra).groupBy("query_id", "memory_id").agg(F.min("distance").alias("distance"), F.max("lexical").alias("lexical"), F.max("graph").alias("graph"))
     rows = memories.select(F.col("id").alias("memory_id"), "content", "category", "importance", "access_count", "state", "confidence", "created_at", "last_accessed", "is_contradicted", "contradicted_by_id")
+    # a memory is in the pools of several queries: its words are cut once
+    rows = rows.join(pool.select("memory_id").distinct(), "memory_id", "left_semi").withColumn("mt", X.tokens(F.col("content")))
     asked = q.select("query_id", "query", X.tokens(F.col("query")).alias("qt"), X.query_terms(F.col("query")).alias("terms"), X.query_category(F.col("query")).alias("asked"))
-    j = pool.join(rows, "memory_id").join(asked, "query_id").withColumn("mt", X.tokens(F.col("content")))
+    j = pool.join(rows, "memory_id").join(asked, "query_id")
     signals = {
         "semantic": F.when(F.col("distance").isNotNull(), S.similarity(F.col("distance"))),
         "lexical": X.lexical_score(F.col("mt"), F.col("qt"), F.col("terms")),

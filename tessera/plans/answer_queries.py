@@ -168,7 +168,7 @@ ev AS (SELECT r.*, f.entity_key, f.attribute_key, f.value_key, f.single_valued,
 k1 AS (SELECT *, CASE WHEN coalesce(single_valued, false) THEN '' ELSE value_key END AS dv, CASE intent WHEN 'FUTURE' THEN CASE effective WHEN 'FUTURE' THEN 3 WHEN 'CURRENT' THEN 2 WHEN 'UNKNOWN' THEN 1 WHEN 'HISTORICAL' THEN 0 ELSE 1 END ELSE CASE effective WHEN 'CURRENT' THEN 3 WHEN 'UNKNOWN' THEN 2 WHEN 'HISTORICAL' THEN 1 WHEN 'FUTURE' THEN 0 ELSE 1 END END AS p, bool_or(state = 'active') OVER (PARTITION BY query_id) AS active FROM ev),
 k2 AS (SELECT * FROM k1 WHERE (intent = 'HISTORICAL' OR NOT (coalesce(is_contradicted, false) OR contradicted_by_id IS NOT NULL)) AND NOT (state = 'archived' AND NOT coalesce(is_contradicted, false) AND coalesce(active, false))),
 k3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, entity_key, attribute_key, dv ORDER BY p DESC, created_at DESC NULLS LAST, memory_id DESC) AS place, min(rank) OVER (PARTITION BY query_id, entity_key, attribute_key, dv) AS seen FROM k2),
-k4 AS (SELECT *, CASE WHEN intent = 'HISTORICAL' OR entity_key IS NULL THEN rank ELSE 1000000 + seen END AS seat, evidence + CASE WHEN effective = intent AND NOT (temporal_state = 'FUTURE' AND effective = 'HISTORICAL') THEN 0.25::DOUBLE ELSE 0 END AS final_score FROM k3 WHERE intent = 'HISTORICAL' OR entity_key IS NULL OR place = 1),
+k4 AS (SELECT *, CASE WHEN intent = 'HISTORICAL' OR entity_key IS NULL THEN rank ELSE 1000000 + seen END AS seat, evidence + CASE WHEN effective = intent AND NOT coalesce(temporal_state = 'FUTURE' AND effective = 'HISTORICAL', false) THEN 0.25::DOUBLE ELSE 0 END AS final_score FROM k3 WHERE intent = 'HISTORICAL' OR entity_key IS NULL OR place = 1),
 k5 AS (SELECT *, lower(trim(content)) AS txt, {TQ.sql_token_set('lower(trim(content))')} AS ws, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 12) DESC, seat) AS INTEGER) AS final_rank FROM k4),
 nl AS (SELECT x.query_id, x.final_rank, list(y.final_rank) AS near FROM k5 x JOIN k5 y ON y.query_id = x.query_id AND y.final_rank < x.final_rank AND (x.txt = y.txt OR (NOT (coalesce(x.entity_key, '') <> '' AND coalesce(x.entity_key = y.entity_key AND x.attribute_key = y.attribute_key AND x.value_key <> y.value_key, false))
  AND len(x.ws) > 0 AND len(y.ws) > 0 AND len(list_intersect(x.ws, y.ws))::DOUBLE / len(list_distinct(list_concat(x.ws, y.ws))) >= 0.20)) GROUP BY 1, 2),

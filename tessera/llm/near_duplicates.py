@@ -11,11 +11,16 @@ cases, which gives 1 - 2^-REPEATS = 0.984, 0.993 at 0.55 and 0.9996 at 0.7.
 
 Every record is hashed alike, whatever it shares with how many others, so recall does not depend on the
 size of a group or of the collection. Equal sets are collapsed before hashing and expanded at the end.
-Tables are joined by one equi-join on the masked block; a 128-bit sketch carried in each row drops pairs
-far from the threshold inside the join, and the survivors are compared exactly. A block that very many
-records share (a form, a large group) is cut into parts of about CELL records, and each pair of parts is a
-key of its own, so no task holds it whole; which blocks are hot is told by a sample of the records, as it
-decides about the work's division only and never about the result.
+Tables are joined by one equi-join on the masked block; the survivors are compared exactly.
+
+Records made from one form meet in its blocks though they are no near-duplicates, and such pairs grow with the
+square of the table. So records of a block that very many share (BLOCK) don't meet by it but by their rarer runs:
+of two records with similarity t, the rarest ``n - ceil(t n) + 1`` of the longer one's n runs and the rarest
+``n - ceil(2 t n / (1 + t)) + 1`` of the shorter one's always have a run in common, whatever order "rarer" means
+for both, so no pair is lost; runs of the form are common and come last. A run that still has more than CELL
+records is cut into parts, and each pair of parts is a key of its own, so no task holds it whole. Which blocks and
+runs are frequent is told by a sample of the records, as it decides about the work's division only and never about
+the result.
 """
 
 from __future__ import annotations
@@ -28,17 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import connected_components
-from tessera.scale import materialize
+from tessera.scale import discard, materialize
 
 #: The lines of the Fano plane: seven masks of three out of seven coordinates.
 LINES = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
 REPEATS = 6
-#: Standard deviations by which a pair's sketch distance may exceed what the threshold makes likely.
-SLACK = 4.0
-SKETCH_BITS = 128
-#: Records of a masked block in a part, and the part of the records (1 in HOT_SAMPLE, by a hash of the id)
-#: that tells which blocks are larger than that.
-CELL, HOT_SAMPLE = 4096, 64
+#: Records from which a masked block is divided by runs, records of a run in a part, and the part of the records
+#: (1 in HOT_SAMPLE, by a hash of the id) that tells which blocks and runs are larger than that.
+BLOCK, CELL, HOT_SAMPLE = 64, 4096, 8
+#: The driver gathers the most frequent ones up to this number; others stay whole.
+HOT_KEYS = 1 << 17
+#: Runs are ordered by how often the sample has their bucket.
+BUCKETS = 1 << 16
+
 
 
 def words(text: Column) -> Column:
@@ -107,39 +114,120 @@ def _keys(repeats: int):
     return run
 
 
-def _tables(repeats: int):
-    """mapInPandas function: a row (key, id, k0, k1) for each record and masked block."""
+def _bucket(runs: np.ndarray) -> np.ndarray:
+    return (_mix(runs.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function: (bucket, count) of the runs."""
+    count = np.zeros(BUCKETS, np.int64)
+    for part in (p for b in batches for p in _parts(b)):
+        count += np.bincount(_bucket(np.concatenate([np.asarray(s, np.int64) for s in part["s"]])), minlength=BUCKETS)
+    yield pd.DataFrame({"bucket": (at := np.flatnonzero(count)), "count": count[at]})
+
+
+def _rarest(sets: list[np.ndarray], seen: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, position of its set, short) of the rarer runs of each set; short: also among those it needs against a longer one."""
+    n = np.array([len(s) for s in sets])
+    run, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    run = run[np.lexsort((run, seen[_bucket(run)], row))]
+    rank = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    long, short = (n - np.ceil(x * n - 1e-9) + 1 for x in (threshold, 2 * threshold / (1 + threshold)))
+    kept = rank < long[row]
+    return run[kept], row[kept], (rank < short[row])[kept]
+
+
+def _run_keys(runs: np.ndarray) -> np.ndarray:
+    return _mix(runs.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+
+
+def _within(keys: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the sorted ``some``, and its place there."""
+    at = np.searchsorted(some, keys)
+    return (some[np.minimum(at, len(some) - 1)] == keys if len(some) else np.zeros(keys.shape, bool)), at
+
+
+def _tables(repeats: int, threshold: float, hot: np.ndarray, seen: np.ndarray, crowded: np.ndarray, parts: np.ndarray):
+    """mapInPandas function: a row (key, id, tag) for each record and masked block; for hot blocks, for each of its rarer runs.
+
+    ``tag`` is 8 times the number of runs, 4 if the key serves against longer records too, and the side. Rows of a
+    side, 1 or 2, are only to meet those of the other; all rows of side 0 are to meet. A crowded run has a row for
+    each pair of parts of which one is the record's own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (p for b in batches for p in _parts(b)):
-            coords, sketch = _signatures([np.asarray(s, np.int64) for s in part["s"]], 7 * repeats, SKETCH_BITS)
-            key = _masked(coords, repeats)
-            row = np.repeat(np.arange(len(key)), key.shape[1])
-            yield pd.DataFrame({"key": key.ravel(), "id": part["id"].to_numpy()[row], "k0": sketch[row, 0].view(np.int64), "k1": sketch[row, 1].view(np.int64)})
+            sets, ids = [np.asarray(s, np.int64) for s in part["s"]], part["id"].to_numpy(np.int64)
+            n = np.array([len(s) for s in sets])
+            key = _masked(_signatures(sets, 7 * repeats, 0)[0], repeats)
+            is_hot = _within(key, hot)[0]
+            row, _ = np.nonzero(~is_hot)
+            yield pd.DataFrame({"key": key[~is_hot], "id": ids[row], "tag": (n[row] * 8 + 4).astype(np.int32)})
+            own = np.flatnonzero(is_hot.any(axis=1))
+            if not len(own):
+                continue
+            r, row, short = _rarest([sets[i] for i in own], seen, threshold)
+            key, row = _run_keys(r), own[row]
+            tag = n[row] * 8 + short * 4
+            many, at = _within(key, crowded)
+            yield pd.DataFrame({"key": key[~many], "id": ids[row[~many]], "tag": tag[~many].astype(np.int32)})
+            if many.any():
+                key, row, tag, times = key[many], row[many], tag[many], parts[at[many]]
+                mine = (_mix(ids[row].view(np.uint64)) % times.astype(np.uint64)).astype(np.int64)
+                k = np.repeat(np.arange(len(key)), times)
+                other, mine = np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times), mine[k]
+                pair = (np.minimum(mine, other) * (1 << 24) + np.maximum(mine, other) + 1).view(np.uint64)
+                side = np.where(mine == other, 0, np.where(mine < other, 2, 1))
+                yield pd.DataFrame({"key": _mix(key[k].view(np.uint64) ^ _mix(pair)).view(np.int64), "id": ids[row[k]], "tag": (tag[k] + side).astype(np.int32)})
 
     return run
 
 
-def _hot_blocks(reps: DataFrame, repeats: int) -> DataFrame:
-    """(key, parts): masked blocks expected to hold more than CELL records, and into how many parts to cut each."""
-    sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).select("s").mapInPandas(_keys(repeats), "key bigint")
+def _sampled(reps: DataFrame) -> DataFrame:
+    return reps.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).select("s")
+
+
+def _frequent(keys: DataFrame, least: int) -> DataFrame:
+    """(key, parts): the keys of a sample expected to hold more than ``least`` records, and into how many parts of CELL to cut each."""
     count = F.col("count") * HOT_SAMPLE
-    return materialize(sample.groupBy("key").count().where(count > CELL).select("key", F.ceil(count / CELL).cast("int").alias("parts")))
+    most = keys.groupBy("key").count().where(count > least).orderBy(F.desc("count"), "key").limit(HOT_KEYS)
+    return most.select("key", F.ceil(count / CELL).cast("int").alias("parts"))
 
 
-def _cut_hot(tables: DataFrame, hot: DataFrame) -> DataFrame:
-    """``tables`` with hot blocks cut: a row for each pair of parts of which one is the record's own.
+def _hot_blocks(reps: DataFrame, repeats: int) -> DataFrame:
+    """(key, parts) of the masked blocks to divide by runs."""
+    return _frequent(_sampled(reps).mapInPandas(_keys(repeats), "key bigint"), BLOCK)
 
-    The pair is hashed into the key. ``side`` tells apart the two parts of a pair, whose rows are only
-    to meet each other; it is -1 where all rows of the key are to meet. Spark broadcasts ``hot`` if its
-    size allows that and shuffles otherwise.
-    """
-    t = tables.join(hot, "key", "left")
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-    t = t.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    side = F.when(F.col("parts").isNull() | (F.col("own") == F.col("other")), -1).otherwise((F.col("own") < F.col("other")).cast("int"))
-    return t.select(key.alias("key"), "id", "k0", "k1", side.cast("tinyint").alias("side"))
+
+def _gathered(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their parts."""
+    rows = sorted((r["key"], r["parts"]) for r in frequent.collect())
+    return np.array([k for k, _ in rows], np.int64), np.array([p for _, p in rows], np.int64)
+
+
+def _divided(reps: DataFrame, repeats: int, threshold: float) -> DataFrame:
+    """(key, id, tag) of all records, as :func:`_tables` has them."""
+    none = np.array([], np.int64)
+    seen, crowded, parts = np.zeros(BUCKETS, np.int64), none, none
+    hot, _ = _gathered(_hot_blocks(reps, repeats))
+    if len(hot):
+        for r in _sampled(reps).mapInPandas(_bucket_counts, "bucket bigint, count bigint").groupBy("bucket").agg(F.sum("count").alias("n")).collect():
+            seen[r["bucket"]] = r["n"]
+        runs = _sampled(reps).withColumn("id", F.lit(0).cast("bigint")).mapInPandas(_tables(repeats, threshold, hot, seen, none, none), "key bigint, id bigint, tag int")
+        crowded, parts = _gathered(_frequent(runs, CELL))
+    return reps.mapInPandas(_tables(repeats, threshold, hot, seen, crowded, parts), "key bigint, id bigint, tag int")
+
+
+def _met(tables: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: the records that meet in some key and whose sizes allow the threshold."""
+    x, y = tables.alias("x"), tables.alias("y")
+    size, short, side = lambda t: F.shiftright(t, 3), lambda t: t.bitwiseAND(4) > 0, lambda t: t.bitwiseAND(3)
+    tx, ty = F.col("x.tag"), F.col("y.tag")
+    near = F.least(size(tx), size(ty)) >= F.greatest(size(tx), size(ty)) * F.lit(threshold - 1e-9)
+    serves = F.when(size(tx) > size(ty), short(ty)).otherwise(short(tx))
+    apart = (side(tx) == 0) | (side(tx) != side(ty))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near & serves & apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return pairs.distinct()
 
 
 def _equal_groups(sets: DataFrame) -> DataFrame:
@@ -161,24 +249,14 @@ def near_duplicate_links(records: DataFrame, id_col: str = "id", text_col: str =
     gives two empty frames. Ids are expected to be unique.
     """
     sets = materialize(shingle_sets(records.select(id_col, text_col), id_col, text_col, shingle, min_words))
-    members = materialize(_equal_groups(sets))
+    members = materialize(_equal_groups(sets), free=True)
     reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi")
-    tables = reps.mapInPandas(_tables(repeats), "key bigint, id bigint, k0 bigint, k1 bigint")
-    hot = _hot_blocks(reps, repeats)
-    cut_up = hot.limit(1).count() > 0
-    if cut_up:
-        tables = _cut_hot(tables, hot)
-    # a one-bit coordinate differs with chance (1 - J) / 2
-    p = (1 - threshold) / 2
-    cut = int(SKETCH_BITS * p + SLACK * (SKETCH_BITS * p * (1 - p)) ** 0.5)
-    x, y = tables.alias("x"), tables.alias("y")
-    far = F.bit_count(F.col("x.k0").bitwiseXOR(F.col("y.k0"))) + F.bit_count(F.col("x.k1").bitwiseXOR(F.col("y.k1")))
-    apart = (F.col("x.side") < 0) | (F.col("x.side") != F.col("y.side")) if cut_up else F.lit(True)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (far <= cut) & apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = pairs.distinct()
+    pairs = materialize(_met(_divided(reps, repeats, threshold), threshold), free=True)
     sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
     links = both.select("a", "b", (F.col("c") / (F.size("sa") + F.size("sb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    links = materialize(links, free=True)
+    discard(sets, pairs)
     return links, members
 
 
@@ -196,7 +274,6 @@ def near_duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
 
     Every record that takes part has one row; a record without near-duplicates is its own group.
     """
-    links = materialize(links)
     comp = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     g = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")

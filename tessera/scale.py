@@ -38,11 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Shuffle files go when the write that made them has ended, not when the driver collects its garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``free`` removes the shuffle files of the write at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE)
+    try:
+        if free:
+            spark.conf.set(FREE, "true")
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE, before)
     _left[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path

@@ -115,3 +115,18 @@ def test_recall_does_not_depend_on_the_size_of_a_group(members, others):
             met[0], close[0] = met[0] + hit, close[0] + 1
             met[1], close[1] = met[1] + (hit and j < 0.6), close[1] + (j < 0.6)
     assert close[1] > 300 and met[0] >= 0.95 * close[0] and met[1] >= 0.95 * close[1]
+
+
+def test_records_of_one_form_do_not_meet_each_other(spark):
+    """A form's records share blocks by the thousand and are no near-duplicates: few meet, all pairs are found."""
+    rng = random.Random(3)
+    form = [f"form{i}" for i in range(24)]
+    texts = [" ".join([*form, *(f"v{rng.randrange(9000)}" for _ in range(20))]) for _ in range(700)]
+    texts += [f"{t} once more" for t in texts[:40]]
+    rows = [(i, t, 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    met = N._met(N._divided(N.shingle_sets(df, "id", "content", 3, 15), N.REPEATS, 0.5), 0.5).count()
+    links, members = N.near_duplicate_links(df, shingle=3, threshold=0.5, min_words=15)
+    want = brute(rows, 3, 0.5, 15)
+    assert {(r.a, r.b) for r in N.expand_pairs(links, members).collect()} == want and len(want) >= 40
+    assert met < 0.1 * len(rows) ** 2 / 2

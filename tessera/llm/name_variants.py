@@ -23,13 +23,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import connected_components
-from tessera.scale import materialize
+from tessera.scale import discard, materialize
 
 # Titles, degrees and notes that are no part of a name.
 TITLES = {"mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "sir", "dame", "lord", "lady", "eng", "rev", "hon", "capt", "col", "judge"}
@@ -60,6 +61,9 @@ GIVEN_SHARE = 0.0008
 #: Letters that no decomposition turns into a base letter.
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"})
 
+#: Parts of the forms that are joined one after the other, so that the shuffle holds one of them.
+SLICES = 4
+
 _LEGAL_FORM = {s: k for k, v in LEGAL.items() for s in (k, *v)}
 _TAIL = re.compile(r"\s*\(.*$|\s+-+\s+.*$|,\s*(main office|head office|hq|headquarters)\s*$")
 _WORD = re.compile(r"[^\W_]+")
@@ -255,6 +259,14 @@ def compared(given: list[str]) -> Column:
     return F.when(F.col("kind") == "PERSON", F.when(~middle, person)).otherwise(F.when(fits, edits(x["b"], y["b"])))
 
 
+def _met(distinct: DataFrame, k: int) -> DataFrame:
+    """(x, y): the identities of which x looks for a form that y offers, by the forms of slice ``k``; full ones once."""
+    own = F.filter(forms(), lambda f: F.pmod(f["form"], F.lit(SLICES)) == k)
+    exploded = distinct.select("key", "weak", F.explode(own).alias("f")).select("f.*", "key", "weak")
+    x, y = exploded.where("wanted").select("form", F.col("key").alias("x"), "weak"), exploded.where("offered").select("form", F.col("key").alias("y"))
+    return x.join(y, "form").where("weak OR x < y").select("x", "y").distinct()
+
+
 def _frequent(words: DataFrame, n: int, share: float, least: int) -> set[str]:
     """Words in at least ``share`` of ``n`` names: at most 1 / share of them, so they fit the driver."""
     return {r["w"] for r in words.groupBy("w").count().where(F.col("count") >= max(share * n, least)).collect()}
@@ -286,14 +298,15 @@ def name_variants(entities: DataFrame, name_forms: DataFrame, aliases: DataFrame
     firsts = names.where("kind = 'PERSON' AND n RLIKE '^[^,. ]{3,} [^,]+$'").select(F.element_at(words, 1).alias("w"))
     given |= {plain(w) for w in _frequent(firsts, counts.get("PERSON", 0), GIVEN_SHARE, 3)} - set(forms_of)
     ids = names.mapInPandas(_identities(given, forms_of, trades), IDENTITY).distinct()
-    ids = materialize(ids.withColumn("key", F.xxhash64("kind", "a", "b", "c", "weak")))
-    distinct = materialize(ids.select("key", "kind", "a", "b", "c", "weak").distinct())
-    exploded = distinct.select("*", F.explode(forms()).alias("f")).select("f.*", *distinct.columns)
-    x, y = exploded.where("wanted").alias("x"), exploded.where("offered").alias("y")
-    met = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.weak") | (F.col("x.key") < F.col("y.key"))))
-    met = met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y"), "x.kind", F.col("x.weak").alias("xweak"), *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in "abc"])
-    # compared before repeats are dropped: most that meet are no pair
-    pairs = materialize(met.select("x", "y", "xweak", compared(sorted(given)).alias("edits")).where("edits IS NOT NULL").distinct())
+    ids = materialize(ids.withColumn("key", F.xxhash64("kind", "a", "b", "c", "weak")), free=True)
+    distinct = materialize(ids.select("key", "kind", "a", "b", "c", "weak").distinct(), free=True)
+    # only hashes are exploded and shuffled, by one in SLICES of the forms at a time; names join the distinct pairs that met
+    slices = [materialize(_met(distinct, k), free=True) for k in range(SLICES)]
+    met = reduce(DataFrame.unionByName, slices).distinct()
+    named = lambda s: distinct.select(F.col("key").alias(s), F.col("kind").alias(f"{s}kind"), F.col("weak").alias(f"{s}weak"), *[F.col(c).alias(f"{s}{c}") for c in "abc"])
+    both = met.join(named("x"), "x").join(named("y"), "y").where("xkind = ykind").withColumnRenamed("xkind", "kind")
+    pairs = materialize(both.select("x", "y", "xweak", compared(sorted(given)).alias("edits")).where("edits IS NOT NULL"), free=True)
+    discard(*slices)
     # entities of full identities: identities that link, and identities of one row
     same_row = ids.where("NOT weak").groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("x", "y")
     full = distinct.where("NOT weak").select(F.col("key").alias("x"), F.col("key").alias("y"))
@@ -309,7 +322,7 @@ def name_variants(entities: DataFrame, name_forms: DataFrame, aliases: DataFrame
     attached = alone.select("id", F.when(F.col("rarity") >= least_rarity, F.col("component")).when(F.col("rarity").isNull(), F.col("own")).alias("component"))
     known = ids.where("NOT weak").join(comp.withColumnRenamed("y", "key"), "key").groupBy("id").agg(F.min("component").alias("component"))
     placed = known.unionByName(attached.join(known.select("id"), "id", "left_anti")).where("component IS NOT NULL")
-    placed = materialize(placed)
+    placed = materialize(placed, free=True)
     least = placed.groupBy("component").agg(F.min("id").alias("entity"))
     linked = placed.join(least, "component").select("id", "entity")
     all_ids = entities.select(F.col("id").cast("bigint").alias("id")).where("id IS NOT NULL").distinct()

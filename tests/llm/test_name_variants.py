@@ -55,3 +55,14 @@ def test_aliases_and_empty_table(spark):
     rows = [(1, "patricia zzwxyv", "", "PERSON"), (2, "pat qrstuv", "", "PERSON")]
     assert linked(spark, rows, al) == {(1, 2)}
     assert linked(spark, []) == set()
+
+
+def test_slices_of_the_forms_hold_all_pairs_and_only_hashes(spark):
+    names = ["goafegarth", "goafegart", "gaofegarth", "stemmond", "stemond", "lurida"]
+    rows = [(i, "PERSON", "anna", s, "", False) for i, s in enumerate(names)]
+    d = spark.createDataFrame(rows, "key bigint, kind string, a string, b string, c string, weak boolean")
+    met = [N._met(d, k) for k in range(N.SLICES)]
+    assert {t for m in met for _, t in m.dtypes} == {"bigint"}
+    got = {(r.x, r.y) for m in met for r in m.collect()}
+    assert {(i, j) for i in range(6) for j in range(i + 1, 6) if N.one_edit(names[i], names[j]) is not None} <= got
+    assert sum(0 < m.count() for m in met) > 1
